@@ -1,10 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from lodestone.llm import packing, token_binary
+from lodestone.llm import packing, substring, token_binary
 
 
 def queries() -> dict:
-    return {"op3_best_fit_packing": packing.op3_best_fit_packing, "op10_token_binary": token_binary.op10_token_binary}
+    return {"op3_best_fit_packing": packing.op3_best_fit_packing, "op9_substring_dedup": substring.op9_substring_dedup, "op10_token_binary": token_binary.op10_token_binary}
 
 
 def oracle_sql() -> dict[str, str]:
