@@ -1,10 +1,17 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from lodestone.llm import ngram_join, packing, substring, token_binary
+from lodestone.llm import decontaminate, ngram_join, packing, substring, suffix_dedup, token_binary
 
 
 def queries() -> dict:
-    return {"op3_best_fit_packing": packing.op3_best_fit_packing, "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join, "op9_substring_dedup": substring.op9_substring_dedup, "op10_token_binary": token_binary.op10_token_binary}
+    return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+        "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
+        "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
+        "op9_substring_dedup": substring.op9_substring_dedup,
+        "op10_token_binary": token_binary.op10_token_binary,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
