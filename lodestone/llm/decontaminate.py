@@ -38,10 +38,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def shingle_hashes(w: Column) -> Column:
-    """Of the words, in order; empty for fewer than five."""
-    at = F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1))
-    return F.when(F.size(w) >= SHINGLE, F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + (k - 1)) for k in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
+def shingle_rows(rows: DataFrame, w: str, at: str, h: str) -> DataFrame:
+    """A row for each shingle of the words in column w: its place and hash, computed as the rows are made."""
+    placed = rows.where(F.size(w) >= SHINGLE).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(w) - SHINGLE)))
+    return placed.withColumn(h, F.xxhash64(*(F.get(w, F.col(at) + k) for k in range(SHINGLE)))).drop(w)
 
 
 def _spread() -> Column:
@@ -77,14 +77,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(f"item_id IS NOT NULL AND size(w) >= {SHINGLE}")
-    item_rows = scratch.save(items.select("item_id", F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"))).alias("at", "h")), "items")
+    item_rows = scratch.save(shingle_rows(items.select("item_id", F.size("w").alias("n"), "w"), "w", "at", "h"), "items")
     shared = scratch.save(item_rows.groupBy("h").agg(F.when(F.count_distinct("item_id") > 1, 1).otherwise(2).alias("weight"), F.collect_set("n").alias("lengths")), "shingles")
 
     # least number of item shingles in a window of n words: J >= s with equal totals W gives a common weight of 2 s W / (1 + s);
     # at least the share of the heaviest shingles is met by counting places, as 2 is the greatest weight and 1 the least
     part = 2 * similarity / (1 + similarity)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    places = text.select("doc_id", F.posexplode(shingle_hashes(words(F.col("text")))).alias("pos", "h"))
+    places = shingle_rows(text.select("doc_id", words(F.col("text")).alias("w")), "w", "pos", "h")
     small = shared.count() <= BROADCAST
     known = F.broadcast(shared) if small else shared  # beyond the bound both sides are shuffled
     hits = scratch.save(places.join(known, "h").select("doc_id", "pos", F.explode("lengths").alias("n")).groupBy("doc_id", "n").agg(F.sort_array(F.collect_set("pos")).alias("at")), "hits")
@@ -99,10 +99,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         .where(within >= F.col("n") - (SHINGLE - 1) - F.col("unknown")).select("doc_id", "n", "s")
     )
     by_doc = scratch.save(windows.groupBy("doc_id").agg(F.collect_list(F.struct("n", "s")).alias("windows")), "windows")
-    hashed = by_doc.join(text, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "windows", shingle_hashes(words(F.col("text"))).alias("hashes"))
-    each = hashed.select("doc_id", "hashes", F.explode("windows").alias("x")).select("doc_id", F.col("x.n").alias("n"), F.col("x.s").alias("s"), F.slice("hashes", F.col("x.s") + 1, F.col("x.n") - (SHINGLE - 1)).alias("own"))
-    each = each.where(F.size("own") == F.col("n") - (SHINGLE - 1))  # else the window reaches beyond the end
-    window_rows = each.select("doc_id", "n", "s", F.posexplode("own").alias("_at", "h")).join(F.broadcast(shared.select("h", "weight")) if small else shared.select("h", "weight"), "h", "left")
+    held = by_doc.join(text, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "windows", words(F.col("text")).alias("w")).select("doc_id", "w", F.explode("windows").alias("x"))
+    each = held.select("doc_id", F.col("x.n").alias("n"), F.col("x.s").alias("s"), F.slice("w", F.col("x.s") + 1, F.col("x.n")).alias("w")).where("size(w) = n")  # else it reaches beyond the end
+    window_rows = shingle_rows(each, "w", "_at", "h").join(F.broadcast(shared.select("h", "weight")) if small else shared.select("h", "weight"), "h", "left")
     groups = F.ceil((F.col("n") - (SHINGLE - 1)) / (MOST_WEIGHT // 2)).cast("int").alias("_groups")
     window_rows = scratch.save(window_rows.select("doc_id", "n", "s", "h", "_at", groups, F.coalesce("weight", F.lit(2)).cast("long").alias("weight")), "window-shingles")
     weighed = item_rows.join(shared.select("h", "weight"), "h").select("item_id", "n", "h", F.col("at").alias("_at"), groups, F.col("weight").cast("long").alias("weight"))
