@@ -1,7 +1,7 @@
 """Toxicity: a counterfactually regularised linear classifier over words and word beginnings.
 
-Features are the distinct lower-case words of a document, without punctuation at their ends, and their first four and five
-letters. Those that tell toxic from other labelled documents are selected by a z-score of their document frequencies (at
+Features are the lower-case words of a document, without punctuation at their ends, and their first three to eight
+letters. A feature's value grows with its share of the document's words. Those that tell toxic from other labelled documents are selected by a z-score of their document frequencies (at
 most `MOST`), and identity terms that occur are always among them. A logistic model is fitted on at most `SAMPLE` labelled
 rows of least hash (its bound), with a penalty on the change of score when the identity terms of a row are swapped
 for the next ones of their list: mentions of a group then weigh next to nothing by themselves, while words that are toxic
@@ -14,6 +14,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from lodestone.llm._base import MEMO_WORDS, batch, table, text_chunks
 from lodestone.llm.doc_stats import held_out, sample, training_labels
 
-SAMPLE, MOST, LEAST_Z, LEAST_DOCUMENTS = 20_000, 4096, 4.0, 4
-RIDGE, SWAP_PENALTY, STEPS = 0.02, 4.0, 400
+SAMPLE, MOST, LEAST_Z, LEAST_SHARE = 20_000, 512, 5.0, 0.02
+RIDGE, SWAP_PENALTY, STEPS = 0.05, 4.0, 400
+#: Value of a feature that is there, and what its share of the words is multiplied by; that part is 1 at most.
+PRESENT, DENSE = 0.2, 25.0
 ENDS = ".,;:!?\"'()[]{}«»“”‘’…*-_"
 #: Terms of a list are swapped for one another.
 IDENTITY = [
@@ -45,7 +49,7 @@ def features(word: str) -> list[int]:
     """Of a bare word, as hashes."""
     if not word:
         return []
-    names = [f"w {word}", *(f"{n} {word[:n]}" for n in (4, 5) if len(word) > n)]
+    names = [f"w {word}", *(f"{n} {word[:n]}" for n in range(3, 9) if len(word) > n)]
     return [xxhash.xxh64_intdigest(x) for x in names]
 
 
@@ -62,28 +66,33 @@ class Selected(dict):
         found = self[word] = tuple(self.places[h] for h in features(bare(word)) if h in self.places)
         return found
 
-    def of(self, text: bytes, swap: bool = False) -> list[int]:
-        words = set(text.split())
-        if swap:
-            words = {_NEXT.get(bare(w), w) for w in words}
-            words = {w if isinstance(w, bytes) else w.encode() for w in words}
-        return sorted(set().union(*map(self.__getitem__, words)) if words else ())
-
-
-def fit(rows: list[list[int]], swapped: list[list[int]], y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Weights and base, by gradient steps with momentum on the logistic loss, ridge and swap penalty."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    f = np.array([k for r in rows for k in r], np.int64)
-    moved = [k for k, (a, b) in enumerate(zip(rows, swapped, strict=True)) if a != b]
-    m_at = np.array([k for k, r in enumerate(moved) for _ in (*rows[r], *swapped[r])], np.int64)
-    m_f = np.array([k for r in moved for k in (*rows[r], *swapped[r])], np.int64)
-    m_sign = np.array([s for r in moved for s in (*[1.0] * len(rows[r]), *[-1.0] * len(swapped[r]))])
+    def of(self, text: bytes, swap: bool = False) -> tuple[list[int], list[float]]:
+        """(places, values) of the features that the text has."""
+        words = text.split()
+        counts: dict[int, int] = {}
+        for word, n in Counter(words).items():
+            if swap and (other := _NEXT.get(bare(word))):
+                word = other.encode()
+            for place in self[word]:
+                counts[place] = counts.get(place, 0) + n
+        return list(counts), [PRESENT + min(1.0, DENSE * n / len(words)) for n in counts.values()]
+
+
+def fit(rows: list, swapped: list, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Weights and base, by gradient steps with momentum on the logistic loss, ridge and swap penalty. rows, swapped: each
+    row's (places, values), as it is and with identity terms swapped."""
+    at = np.repeat(np.arange(len(rows)), [len(p) for p, _ in rows])
+    f, v = (np.concatenate([np.asarray(r[k], t) for r in rows]) for k, t in ((0, np.int64), (1, float)))
+    moved = [k for k, (a, b) in enumerate(zip(rows, swapped, strict=True)) if list(a[0]) != list(b[0]) or list(a[1]) != list(b[1])]
+    m_at = np.array([k for k, r in enumerate(moved) for _ in (*rows[r][0], *swapped[r][0])], np.int64)
+    m_f = np.array([k for r in moved for k in (*rows[r][0], *swapped[r][0])], np.int64)
+    m_sign = np.array([s for r in moved for s in (*rows[r][1], *(-x for x in swapped[r][1]))])
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
     w, base = np.zeros(width), float(np.log(share / (1 - share)))
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(at, weights=w[f], minlength=len(rows)) + base)))
-        grad = np.bincount(f, weights=(p - y)[at], minlength=width) + RIDGE * w
+        p = 1 / (1 + np.exp(-(np.bincount(at, weights=w[f] * v, minlength=len(rows)) + base)))
+        grad = np.bincount(f, weights=(p - y)[at] * v, minlength=width) + RIDGE * w
         if moved:
             change = np.bincount(m_at, weights=w[m_f] * m_sign, minlength=len(moved))
             grad += SWAP_PENALTY * np.bincount(m_f, weights=change[m_at] * m_sign, minlength=width)
@@ -135,21 +144,23 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
         n1, n0 = int(ids["y"].sum()), int(len(ids) - ids["y"].sum())
         a, b = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("other") + 0.5) / (n0 + 1)
-        z = (a - b) / F.sqrt(a * (1 - a) / n1 + b * (1 - b) / n0)
+        pooled = (F.col("toxic") + F.col("other") + 1) / (n1 + n0 + 2)
+        z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
         always = [int(np.uint64(h).astype(np.int64)) for t in _NEXT for h in features(t)[:1]]
         counted = labelled.mapInArrow(count, "h long, toxic long, other long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        telling = (F.abs("z") >= LEAST_Z) & (F.col("toxic") + F.col("other") >= LEAST_DOCUMENTS)
+        telling = (F.abs("z") >= LEAST_Z) & (F.greatest(F.col("toxic") / n1, F.col("other") / n0) >= LEAST_SHARE)
         best = counted.withColumn("z", z).withColumn("always", F.col("h").isin(always)).where(telling | F.col("always")).orderBy(F.desc("always"), F.desc(F.abs("z")), "h").limit(MOST).select("h").toPandas()
         places = spark.sparkContext.broadcast({h & (1 << 64) - 1: k for k, h in enumerate(best["h"].tolist())})
 
         def lists(batches):
-            schema = pa.schema([("y", pa.int32()), ("own", pa.list_(pa.int32())), ("swapped", pa.list_(pa.int32()))])
+            schema = pa.schema([("y", pa.int32()), *((c, pa.list_(t)) for c, t in (("own", pa.int32()), ("values", pa.float64()), ("swapped", pa.int32()), ("new_values", pa.float64())))])
             chosen = Selected(places.value)
             for part, texts in picked(batches):
-                yield batch(schema, [[y_of.value[d] for d in part.column("doc_id").to_pylist()], [chosen.of(t) for t in texts], [chosen.of(t, True) for t in texts]])
+                own, swapped = ([chosen.of(t, swap) for t in texts] for swap in (False, True))
+                yield batch(schema, [[y_of.value[d] for d in part.column("doc_id").to_pylist()], *zip(*own, strict=True), *zip(*swapped, strict=True)])
 
-        known = labelled.mapInArrow(lists, "y int, own array<int>, swapped array<int>").toPandas()
-        own, swapped = ([list(r) for r in known[c]] for c in ("own", "swapped"))
+        known = labelled.mapInArrow(lists, "y int, own array<int>, values array<double>, swapped array<int>, new_values array<double>").toPandas()
+        own, swapped = (list(zip(known[a], known[b], strict=True)) for a, b in (("own", "values"), ("swapped", "new_values")))
         model = (places.value, *fit(own, swapped, known["y"].to_numpy(float), len(best)))
     fitted = spark.sparkContext.broadcast(model)
 
@@ -161,7 +172,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
                 values = np.full(len(texts), share)
             else:
                 w, base = fitted.value[1:]
-                values = 1 / (1 + np.exp(-np.array([w[chosen.of(t)].sum() + base for t in texts])))
+                values = 1 / (1 + np.exp(-np.array([base + sum(w[p] * v for p, v in zip(*chosen.of(t), strict=True)) for t in texts])))
             yield batch(schema, [part.column("doc_id").to_pylist(), values])
 
     scored = rows.mapInArrow(score, "doc_id long, score double")
