@@ -1,11 +1,15 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from lodestone.llm import decontaminate, ngram_join, packing, substring, suffix_dedup, token_binary
+from lodestone.llm import decontaminate, ngram_join, packing, quality_classifier, quality_rules, secrets, substring, suffix_dedup, token_binary, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scans": secrets.op1_secret_scans,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
         "op8_ngram_jaccard_join": ngram_join.op8_ngram_jaccard_join,
