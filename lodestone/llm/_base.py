@@ -113,6 +113,22 @@ def rolling(words: np.ndarray, size: int) -> np.ndarray:
         width, at = 2 * width, at + 1
 
 
+#: Bits of a value that give way to its place where leftmost minima are sought; texts of more words are not met.
+_PLACE = np.uint64((1 << 26) - 1)
+
+
+def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least value (its upper 38 bits) of each stretch of width values is, the leftmost of equals."""
+    low = (values & ~_PLACE) | np.arange(len(values), dtype=np.uint64)
+    step = 1
+    while 2 * step <= width:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    if step < width:
+        low = np.minimum(low[: len(low) - (width - step)], low[width - step :])
+    return (low & _PLACE).astype(np.int64)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

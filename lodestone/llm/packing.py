@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from lodestone.llm._base import Scratch, batch, text_chunks
 
 #: Pieces of text whose ids a worker remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 900_000
+_CLOSING = {".", ","}
 #: White space beside white space, or other than a space or line end between two other characters.
 _JOINED_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]| [ \n]|\n[ \n]")
 
@@ -71,12 +72,18 @@ class SpacedTokens(dict):
                 lines.append([words[0], *[" " + w for w in words[1:]]] if words[0] else [" " + w for w in words[1:]])
             parts.append(lines)
         words = {w for lines in parts if lines is not None for line in lines for w in line}
-        new = [w for w in words if w not in self]
+        new = words - self.keys()
         if len(self) + len(new) > MEMO_WORDS:
             self.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            self.update(zip(new[at : at + 20_000], self.encode(new[at : at + 20_000]), strict=True))
+            new = words
+        # a closing point or comma after a plain letter or digit is a pre-token of its own
+        bare = {w[:-1] if w[-1:] in _CLOSING and w[-2:-1].isascii() and w[-2:-1].isalnum() else w for w in new} | _CLOSING
+        bare = list(bare - self.keys())
+        for at in range(0, len(bare), 20_000):
+            self.update(zip(bare[at : at + 20_000], self.encode(bare[at : at + 20_000]), strict=True))
+        for w in new:
+            if w not in self:
+                self[w] = self[w[:-1]] + self[w[-1:]]
         get = self.__getitem__
         return [self.encode([text])[0] if lines is None else self.newline.join(b"".join(map(get, line)) for line in lines) for text, lines in zip(texts, parts, strict=True)]
 

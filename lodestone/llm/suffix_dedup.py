@@ -24,11 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import Scratch, batch, mix, rolling, signed, text_chunks, word_hashes
+from lodestone.llm._base import Scratch, batch, leftmost_minima, mix, rolling, signed, text_chunks, word_hashes
 from lodestone.llm.substring import _input, repeated_hashes
 
 ANCHOR, HOT = 8, 4000
@@ -39,7 +38,7 @@ def suffixes(words: np.ndarray, passage: int, gap: int) -> tuple[np.ndarray, np.
     if len(words) < passage:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     grams = rolling(words, ANCHOR)[: len(words) - passage + gap]
-    at = sliding_window_view(grams, gap).argmin(axis=1) + np.arange(len(grams) - gap + 1)
+    at = leftmost_minima(grams, gap)
     at = at[np.flatnonzero(np.diff(at, prepend=-1))]
     return mix(rolling(words, passage - gap + 1)[at]), at
 
