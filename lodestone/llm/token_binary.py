@@ -17,6 +17,7 @@ import os
 import struct
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from lodestone.llm._base import Scratch, batch, text_chunks
 
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_600_000
+_CLOSING = {b".", b","}
 _MASK_DELTA = 0xA282EAD8
 _NULL_ID = -(1 << 63)
 
@@ -61,15 +63,21 @@ class WordTokens(dict):
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def learn(self, words: set[bytes]) -> None:
-        """Adds the words that are new."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMO_WORDS:
-            self.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        """Adds the words that are new. A closing point or comma after a plain letter or digit is a token of its own."""
+        new = words - self.keys()
+        if len(self) + len(new) > MEMO_WORDS:  # the later half, of rarer words, is forgotten
+            for word in list(islice(reversed(self), len(self) // 2)):
+                del self[word]
+            new = words - self.keys()
+        bare = {w[:-1] if w[-1:] in _CLOSING and w[-2:-1].isalnum() else w for w in new} | _CLOSING
+        bare = list(bare - self.keys())
+        for at in range(0, len(bare), 20_000):
+            part = bare[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
+        for w in new:
+            if w not in self:
+                self[w] = self[w[:-1]] + self[w[-1:]]
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -112,7 +120,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         where.create_dir(f"{inner}/data", recursive=True)
         name, out, offset, start = f"data/part-{part:05d}-{uuid.uuid4().hex}.bin", None, 0, 0
         for rows, texts in text_chunks(batches):
-            words = [t.split() for t in texts]
+            # the tokenizer lowers all letters; lowering A-Z before makes fewer words. Its special tokens are in lower case
+            words = [(t if b"<|" in t else t.lower()).split() for t in texts]
             ids.learn(set().union(*words))
             index = []
             for doc_id, own in zip(rows.column("doc_id").to_pylist(), words, strict=True):
