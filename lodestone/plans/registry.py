@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: list[str] = ["plans.q_text", "plans.q_relational", "plans.q_ranking"]
+MODULES: list[str] = ["plans.q_text", "plans.q_relational", "plans.q_ranking", "plans.q_evaluation"]
 
 
 def _gather(what: str) -> dict:
