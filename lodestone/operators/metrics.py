@@ -1,7 +1,5 @@
 """Evaluation of scores: ranks, curves, operating points, reference distributions, intervals."""
 
-from __future__ import annotations
-
 import math
 
 import numpy as np
@@ -9,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.udf import on_series
+
 FIXED_THRESHOLDS = [float("-inf"), 0.0, 0.2, 0.3, 0.4, 0.5, 1.0, float("inf")]
 
 
@@ -85,7 +85,7 @@ def zscore(value: Column, mean: Column, sigma: Column) -> Column:
     return F.when(sigma > 0, (value - mean) / sigma).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@on_series("double")
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))), na_action="ignore")
 
