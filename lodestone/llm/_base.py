@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,23 +64,40 @@ def text_chunks(batches, max_bytes: int = CHUNK_BYTES):
             at = to
 
 
-class WordHashes(dict):
-    """64-bit hash by word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = WordHashes()
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of UTF-8 text; bytes.split() parts at just these six characters."""
-    words = text.split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+#: Tables of random 64-bit numbers by place in a word and byte (tabulation hashing), and odd factors for words longer than
+#: the tables, by how often they wrap.
+_PLACES = 32
+_RNG = np.random.default_rng(0x10DE57)
+_TABLE = _RNG.integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64, endpoint=False)
+_WRAP = _RNG.integers(0, 1 << 64, 64, dtype=np.uint64, endpoint=False) | np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def hashed_words(texts: list[bytes], lower: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of each UTF-8 text, with A-Z as a-z if lower."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if lower:
+        data = _LOWER[data]
+    space = _SPACE[data]
+    inside = np.flatnonzero(~space)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    if not len(inside):
+        return [np.zeros(0, np.uint64) for _ in texts]
+    first = np.empty(len(inside), bool)
+    first[0] = True
+    np.not_equal(inside[1:], inside[:-1] + 1, out=first[1:])
+    starts = np.flatnonzero(first)
+    size = np.diff(starts, append=len(inside))
+    place = np.arange(len(inside)) - np.repeat(starts, size)
+    if size.max() <= _PLACES:
+        value = _TABLE[(place << 8) + data[inside]]
+    else:
+        value = _TABLE[((place % _PLACES) << 8) + data[inside]] * np.where(place < _PLACES, np.uint64(1), _WRAP[place // _PLACES % 64] + (place // _PLACES // 64).astype(np.uint64) * np.uint64(2))
+    found = mix(np.add.reduceat(value, starts) + size.astype(np.uint64))
+    return np.split(found, np.searchsorted(inside[starts], ends[:-1]))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

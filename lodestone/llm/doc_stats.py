@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import batch, rolling, text_chunks, word_hashes
+from lodestone.llm._base import batch, hashed_words, rolling, text_chunks
 
 SYMBOLS = b"#*$%&|<>"
 #: Classes of bytes.
@@ -29,9 +29,8 @@ FEATURES = [
 ]
 
 
-def stats(text: bytes) -> tuple[list[int], list[float]]:
-    """(the values of COUNTS, those of FEATURES) of a text."""
-    words = word_hashes(text)
+def stats(text: bytes, words: np.ndarray) -> tuple[list[int], list[float]]:
+    """(the values of COUNTS, those of FEATURES) of a text and its words' hashes."""
     n = len(words)
     if not n:
         return [0, 0, 0, 0, 0], [0.0] * len(FEATURES)
@@ -70,7 +69,7 @@ def stats_of(docs: DataFrame) -> DataFrame:
 
     def read(batches):
         for part, texts in text_chunks(batches):
-            counts, features = zip(*map(stats, texts), strict=True)
+            counts, features = zip(*map(stats, texts, hashed_words(texts)), strict=True)
             yield batch(schema, [part.column("doc_id").to_pylist(), *zip(*counts, strict=True), list(features)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(read, STATS_DDL)

@@ -6,9 +6,10 @@ takes part in the join.
 1. Classes of tokens. A count sketch over all documents gives each token a level: how often it occurs at most. Levels up to
    `RARE` are rare tokens, the others frequent ones. The tokens of a set are ordered by level, then hash. Any order that
    all sets share is sound for prefixes, so that an over-full sketch costs time only.
-2. Prefixes. Two sets that are similar enough share a token among the first |x| - ceil(t |x|) + 1 tokens of each. Rare
-   tokens of a prefix are indexed singly.
-3. Token combinations. Where a set's rare tokens don't fill its prefix, the prefix is extended to the whole set and
+2. Prefixes. Two sets that are similar enough share k tokens among the first |x| - ceil(t |x|) + k tokens of each. Prefixes
+   are extended to k = 1 + |x| / 32, the lesser k of two sets counting. Rare tokens of a prefix are indexed singly, and
+   pairs that share fewer than k of them aren't candidates by them.
+3. Token combinations. Where a set's rare tokens don't fill its prefix, the prefix is extended to the whole set and its
    combinations are indexed: tokens are dealt by hash into one part more than two similar sets of that size class can
    differ in, so that one part is equal in both, and each part's tokens make one combination. A pair that shares only
    frequent tokens in its prefixes has such an extended prefix on both sides and shares a combination.
@@ -32,19 +33,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import BitFilter, Scratch, batch, mix, rolling, signed, text_chunks, word_hashes
+from lodestone.llm._base import BitFilter, Scratch, batch, hashed_words, mix, rolling, signed, text_chunks
 
 #: Counters of the sketch, slices in which it is added up, and the highest level of rare tokens: a level is a doubling of
 #: the count over what chance puts on a counter.
 COUNTERS, SLICES, RARE = 1 << 21, 32, 2
+#: What a shared combination counts for: more than any number of shared tokens.
+COMBINED = 1_000_000
 
 
-def tokens(text: bytes, size: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = word_hashes(text.lower())  # of bytes: only A-Z change
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    return np.unique(mix(rolling(words, min(size, len(words))) + np.uint64(min(size, len(words)))))
+def token_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text."""
+    sets = []
+    for words in hashed_words(texts, lower=True):
+        n = min(size, len(words))
+        sets.append(np.unique(mix(rolling(words, n) + np.uint64(n))) if n else np.zeros(0, np.uint64))
+    return sets
 
 
 def needed(n: int, percent: int) -> int:
@@ -69,23 +73,28 @@ def parts_of(k: int, percent: int) -> int:
     return (100 - percent) * 2 * largest // (100 + percent) + 1
 
 
-def signatures(own: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of a set: rare tokens of its prefix, and combinations if its prefix holds frequent tokens."""
+def extension(n: int) -> int:
+    """Tokens that two similar sets, of n tokens or more, must share in their extended prefixes."""
+    return 1 + n // 32
+
+
+def signatures(own: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rare tokens of the set's extended prefix, its combinations if that prefix holds frequent tokens)."""
     n = len(own)
-    prefix = n - needed(n, percent) + 1
+    prefix = n - needed(n, percent) + extension(n)
     level = levels[(own & np.uint64(len(levels) - 1)).astype(np.int64)]
     rare = own[level <= RARE]
     singles = mix(rare[np.argsort(level[level <= RARE], kind="stable")[:prefix]])
     if len(rare) >= prefix:
-        return singles
-    found = [singles]
+        return singles, singles[:0]
+    found = []
     k = size_class(n, percent)
     for at in (k, k + 1):
         m = parts_of(at, percent)
         sums = np.arange(m, dtype=np.uint64) + np.uint64((at + 1) << 32)
         np.add.at(sums, (mix(own + np.uint64(7)) % np.uint64(m)).astype(np.int64), own)
         found.append(mix(mix(sums) + np.uint64(at)))
-    return np.concatenate(found)
+    return singles, np.concatenate(found)
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -99,7 +108,7 @@ def _sets_and_sketch(docs: DataFrame, size: int, scratch: Scratch) -> tuple[Data
     def read(batches):
         sketch = np.zeros(COUNTERS, np.uint16)
         for part, texts in text_chunks(batches):
-            sets = [tokens(t, size) for t in texts]
+            sets = token_sets(texts, size)
             at, n = np.unique((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
             sketch[at] = np.minimum(sketch[at] + n, 65535)
             cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
@@ -162,26 +171,57 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     classes = scratch.save(sets.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "classes")
 
     def sign(batches):
-        schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
+        schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("combined", pa.bool_())])
         for part, texts in text_chunks(batches):
-            sigs, cls = [], []
-            for text in texts:
-                own = tokens(text, size)
+            sigs, cls, combined = [], [], []
+            for own in token_sets(texts, size):
                 if len(own):
-                    sigs.append(signatures(own, held.value, percent))
-                    cls.append(np.full(len(sigs[-1]), xxhash.xxh64_intdigest(own.tobytes()), np.uint64))
+                    both = signatures(own, held.value, percent)
+                    sigs += both
+                    cls.append(np.full(len(both[0]) + len(both[1]), xxhash.xxh64_intdigest(own.tobytes()), np.uint64))
+                    combined += [np.zeros(len(both[0]), bool), np.ones(len(both[1]), bool)]
             if sigs:
-                yield batch(schema, [signed(np.concatenate(sigs)), signed(np.concatenate(cls))])
+                yield batch(schema, [signed(np.concatenate(sigs)), signed(np.concatenate(cls)), np.concatenate(combined)])
+
+    def share(batches):
+        """Of rows sorted by sig those whose sig several classes have, with the least of these. A rare token's bucket is
+        held as a whole: the sketch bounds it."""
+        schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("lo", pa.int64())])
+        left = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def several(sig, cls):
+            if not len(sig):
+                return None
+            starts = np.flatnonzero(np.diff(sig, prepend=~sig[0]))
+            n = np.diff(starts, append=len(sig))
+            least, most = np.minimum.reduceat(cls, starts), np.maximum.reduceat(cls, starts)
+            keep = np.repeat(least != most, n)
+            return batch(schema, [sig[keep], cls[keep], np.repeat(least, n)[keep]])
 
-    index = scratch.save(_input(docs).where("doc_id IS NOT NULL").mapInArrow(sign, "sig long, cls long"), "index")
-    shared = index.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    buckets = scratch.save(index.join(shared.select("sig", "lo"), "sig").distinct(), "buckets")
+        for part in batches:
+            sig, cls = (np.concatenate([a, part.column(c).to_numpy()]) for a, c in zip(left, ("sig", "cls"), strict=True))
+            cut = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
+            left = sig[cut:], cls[cut:]
+            if (found := several(sig[:cut], cls[:cut])) is not None:
+                yield found
+        if (found := several(*left)) is not None:
+            yield found
+
+    index = scratch.save(_input(docs).where("doc_id IS NOT NULL").mapInArrow(sign, "sig long, cls long, combined boolean"), "index")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    singles = index.where("NOT combined").select("sig", "cls").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(share, "sig long, cls long, lo long")
+    # combinations can be as frequent as there are copies: combined before the shuffle, and joined, where skew is split
+    combined = index.where("combined").select("sig", "cls")
+    lows = combined.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("sig", "lo")
+    weighed = singles.withColumn("weight", F.lit(1)).unionByName(combined.join(lows, "sig").withColumn("weight", F.lit(COMBINED)))
+    buckets = scratch.save(weighed.distinct(), "buckets")
     scratch.drop("index")
 
     def alike(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """The pairs of classes whose sizes allow them to link, with sizes."""
+        """The pairs of classes whose sizes and shared signatures allow them to link."""
         x, y = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}")) for c in (a, b))
-        return pairs.join(x, a).join(y, b).where(F.greatest(f"n_{a}", f"n_{b}") * percent <= 100 * F.least(f"n_{a}", f"n_{b}"))
+        least = F.least(f"n_{a}", f"n_{b}")
+        return pairs.join(x, a).join(y, b).where((F.greatest(f"n_{a}", f"n_{b}") * percent <= 100 * least) & (F.col("shared") >= 1 + F.expr(f"least(n_{a}, n_{b}) div 32")))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (x, y) of classes those that link. The texts of the least documents of these classes are read again."""
@@ -190,16 +230,15 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         keep = spark.sparkContext.broadcast(BitFilter.build(nodes, "k", nodes.count()))
 
         def again(batches):
-            schema = pa.schema([("node", pa.int64()), ("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+            schema = pa.schema([("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
             for part in batches:
                 keys = np.array([xxhash.xxh64_intdigest(struct.pack("<q", d), 42) for d in part.column("doc_id").to_pylist()], np.uint64)
-                for _, texts in text_chunks([part.filter(pa.array(keep.value.hits(keys)))]):
-                    own = [tokens(t, size) for t in texts]
+                for rows, texts in text_chunks([part.filter(pa.array(keep.value.hits(keys)))]):
+                    own = token_sets(texts, size)
                     cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64)
-                    yield batch(schema, [_.column("doc_id").to_pylist(), signed(cls), list(map(signed, own))])
+                    yield batch(schema, [signed(cls), list(map(signed, own))])
 
-        texts = _input(docs).where("doc_id IS NOT NULL").mapInArrow(again, "node long, cls long, tokens array<long>")
-        own = scratch.save(texts.join(nodes.select("node", "cls"), ["node", "cls"]).select("cls", "tokens"), f"{name}-tokens")
+        own = scratch.save(_input(docs).where("doc_id IS NOT NULL").mapInArrow(again, "cls long, tokens array<long>"), f"{name}-tokens")
         left, right = (own.select(F.col("cls").alias(c), F.col("tokens").alias(f"t_{c}")) for c in ("x", "y"))
         both = F.size(F.array_intersect("t_x", "t_y"))
         found = pairs.join(left, "x").join(right, "y").where(100 * both >= percent * (F.size("t_x") + F.size("t_y") - both)).select("x", "y").distinct()
@@ -207,8 +246,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         scratch.drop(f"{name}-pairs", f"{name}-nodes", f"{name}-tokens")
         return found
 
-    star = alike(buckets.where("cls <> lo").groupBy("cls", "lo").count(), "cls", "lo")
-    best = star.groupBy("cls").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
+    star = alike(buckets.where("cls <> lo").groupBy("cls", "lo").agg(F.sum("weight").alias("shared")), "cls", "lo")
+    best = star.groupBy("cls").agg(F.max_by("lo", F.struct("shared", "lo")).alias("lo"))
     first = verified(best.select(F.col("cls").alias("x"), F.col("lo").alias("y")), "first")
     named = classes.select("cls", "node")
 
@@ -217,12 +256,12 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         return links.join(x, "x").join(y, "y").select("a", "b")
 
     known = scratch.save(components(edges(first), scratch, "star").join(named, "node", "right").select("cls", F.coalesce("component", "node").alias("component")), "known")
-    in_star = buckets.select("sig", "cls").join(known, "cls")
+    in_star = buckets.select("sig", "cls", "weight").join(known, "cls")
     mixed = in_star.groupBy("sig").agg(F.min("component").alias("m"), F.max("component").alias("k")).where("m <> k").select("sig")
     rest = scratch.save(in_star.join(mixed, "sig").join(classes.select("cls", "n"), "cls"), "rest")
-    x, y = rest.toDF("x", "sig", "c", "n"), rest.toDF("y", "sig", "d", "m")
+    x, y = rest.select(F.col("cls").alias("x"), "sig", F.col("component").alias("c"), "n", "weight"), rest.select(F.col("cls").alias("y"), "sig", F.col("component").alias("d"), F.col("n").alias("m"))
     across = x.join(y, "sig").where((F.col("c") < F.col("d")) & (F.greatest("n", "m") * percent <= 100 * F.least("n", "m")))
-    second = verified(across.select("x", "y").distinct(), "second")
+    second = verified(alike(across.groupBy("x", "y").agg(F.sum("weight").alias("shared")), "x", "y"), "second")
     links = first.unionByName(second)
     final = scratch.save(components(edges(links), scratch, "all"), "final")
     degree = links.select(F.explode(F.array("x", "y")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))

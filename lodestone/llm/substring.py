@@ -25,11 +25,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import BitFilter, Scratch, batch, mix, rolling, signed, text_chunks, word_hashes
+from lodestone.llm._base import BitFilter, Scratch, batch, hashed_words, leftmost_minima, mix, rolling, signed, text_chunks
 
 #: Words of an anchor, contexts of an anchor that an automaton takes, contexts that are put into one automaton.
 ANCHOR, SHARD, TOGETHER = 8, 2000, 512
@@ -40,7 +39,7 @@ def contexts(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
     if len(words) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     grams = rolling(words, ANCHOR)
-    at = sliding_window_view(grams, window - ANCHOR + 1).argmin(axis=1) + np.arange(len(words) - window + 1)
+    at = leftmost_minima(grams, window - ANCHOR + 1)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.append(first[1:], len(at)) - 1
     return mix(grams[at[first]]), first, last
@@ -56,7 +55,7 @@ def repeated_hashes(docs: DataFrame, hashes_of, scratch: Scratch, name: str) ->
 
     def count(batches):
         for _, texts in text_chunks(batches):
-            found, n = np.unique(np.concatenate([hashes_of(word_hashes(t)) for t in texts]), return_counts=True)
+            found, n = np.unique(np.concatenate([hashes_of(w) for w in hashed_words(texts)]), return_counts=True)
             yield batch(schema, [signed(found), n])
 
     rows = _input(docs).where("doc_id IS NOT NULL").mapInArrow(count, "h long, n long")
@@ -143,8 +142,7 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
 
     def seen(rows_, texts, keep, with_words: bool):
         out = [[] for _ in range(5)]
-        for doc_id, text in zip(rows_.column("doc_id").to_pylist(), texts, strict=True):
-            words = word_hashes(text)
+        for doc_id, words in zip(rows_.column("doc_id").to_pylist(), hashed_words(texts), strict=True):
             h, lo, hi = contexts(words, window)
             held = shared.value.hits(h)
             if not held.any():

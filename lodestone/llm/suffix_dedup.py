@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import Scratch, batch, leftmost_minima, mix, rolling, signed, text_chunks, word_hashes
+from lodestone.llm._base import Scratch, batch, hashed_words, leftmost_minima, mix, rolling, signed, text_chunks
 from lodestone.llm.substring import _input, repeated_hashes
 
 ANCHOR, HOT = 8, 4000
@@ -64,8 +64,7 @@ def spans(docs: DataFrame, passage: int = 50, gap: int = 16) -> DataFrame:
         schema = pa.schema([("stem", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
         for part, texts in text_chunks(batches):
             out = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                words = word_hashes(text)
+            for doc_id, words in zip(part.column("doc_id").to_pylist(), hashed_words(texts), strict=True):
                 h, at = suffixes(words, passage, gap)
                 held = shared.value.hits(h)
                 if held.any():
