@@ -145,6 +145,12 @@ def bootstrap_auc_ci(t):
     return metrics.bootstrap_auc(scores(t), "score", _y(), draws=400)
 
 
+@query("paired_bootstrap_delta")
+def paired_bootstrap_delta(t):
+    rows = t("labels").join(t("documents"), "doc_id").select((F.col("quality") == 1).alias("y"), F.least("n_chars", F.lit(3000)).alias("a"), (F.col("n_chars") % 97).alias("b"))
+    return metrics.bootstrap_auc_delta(rows, "a", "b", _y(), draws=200)
+
+
 # ---- responses
 
 CLAIMS = """SELECT conv_id, turn, text AS response, CASE WHEN turn % 4 < 2 THEN 'true' ELSE 'counterfactual' END AS claim_type, coalesce(regexp_extract(prev, '[A-Za-z0-9]+'), '') AS original, coalesce(regexp_extract(prev, '([A-Za-z0-9]+)[^A-Za-z0-9]*$', 1), '') AS counterfactual
