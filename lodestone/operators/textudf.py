@@ -77,19 +77,16 @@ def paragraph_chunks(text: str | None, least: int = 200, most: int = 3000, targe
     def cut(paragraph: str) -> list[str]:
         if len(paragraph) <= most:
             return [paragraph]
-        out, now, size = [], [], 0
+        out, now, room = [], "", most
         for sentence in filter(None, map(str.strip, SENTENCE_END.split(paragraph))):
-            if len(sentence) > most or (now and size + len(sentence) + 1 > most):
-                if now:
-                    out.append(" ".join(now).strip())
-                now, size = [], 0
+            if now and (len(sentence) > most or len(sentence) + 1 > room):
+                out.append(now)
+                now, room = "", most
             if len(sentence) > most:
                 out += [sentence[i : i + most] for i in range(0, len(sentence), most)]
             else:
-                size += len(sentence) + (1 if now or size == 0 and not out else 0)
-                now.append(sentence)
-                size = max(size, len(sentence))
-        return out + ([" ".join(now).strip()] if now else [])
+                now, room = f"{now} {sentence}" if now else sentence, room - len(sentence) - bool(now)
+        return [*out, now] if now else out
 
     chunks, now, size = [], [], 0
     for paragraph in filter(None, map(str.strip, PARAGRAPH_END.split(text or ""))):
