@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty for what has no pattern.
 
 Patterns give the base spans: assignments of a value to a secret's name, access keys, long hexadecimal runs. Novelty adds to
-them: a long string with letters and digits whose surroundings name a secret is a candidate. Its marginal bytes are the
-compressed size of its surroundings with it less their size without it, both primed with a dictionary of code identifiers.
+them: a long string with letters and digits whose surroundings name a secret is a candidate; of an unspaced NAME=VALUE the
+value is, and the name belongs to its surroundings. Its marginal bytes are the compressed size of its surroundings with it less their size without it, both primed with a dictionary of code identifiers.
 Identifiers, words and text that the surroundings repeat cost next to nothing; a string that costs at least `NOVEL` bytes a
 character can't be told from chance and is reported.
 
@@ -73,6 +73,18 @@ class Novelty:
 _NOVELTY: list[Novelty] = []
 
 
+def value_at(found: str) -> int:
+    """Where the value of an unspaced NAME=VALUE begins: after the last '=' that follows a name and leaves a long value, or 0.
+    What looks like a value itself is no name, so that padding inside a value doesn't cut it."""
+    at = len(found.rstrip("="))
+    while (at := found.rfind("=", 0, at)) > 0:
+        name = found[found.rfind("=", 0, at) + 1 : at]
+        if name and found[at + 1] != "=" and len(found) - at - 1 >= LEAST_LONG:
+            if len(name) < LEAST_LONG or not any(map(str.isdigit, name)) or SENSITIVE.search(name):
+                return at + 1
+    return 0
+
+
 def find(data: bytes) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the secret value) in code points, in order of start, then kind."""
     spans = []
@@ -87,15 +99,16 @@ def find(data: bytes) -> list[tuple[int, int, int, int]]:
         spans += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
         spans += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
         for m in CANDIDATE.finditer(text):
-            value = m.group()
+            start = m.start() + value_at(m.group())
+            value = text[start : m.end()]
             if not any(map(str.isdigit, value)) or not any(map(str.isalpha, value)):
                 continue
-            if not SENSITIVE.search(text, max(0, m.start() - NAMED_WITHIN), m.start()):
+            if not SENSITIVE.search(text, max(0, m.start() - NAMED_WITHIN), start):
                 continue
             if not _NOVELTY:
                 _NOVELTY.append(Novelty())
-            if _NOVELTY[0].marginal(text[max(0, m.start() - BEFORE) : m.start()], value, text[m.end() : m.end() + AFTER]) >= NOVEL * len(value):
-                spans.append((m.start(), 3, m.end(), m.start()))
+            if _NOVELTY[0].marginal(text[max(0, start - BEFORE) : start], value, text[m.end() : m.end() + AFTER]) >= NOVEL * len(value):
+                spans.append((start, 3, m.end(), start))
     return sorted(spans)
 
 

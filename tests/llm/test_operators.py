@@ -226,6 +226,17 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).collect() == [] and secrets.redact(empty).collect() == []
 
 
+def test_names_of_unspaced_values(spark):
+    values = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Zx81kQ0aLm2Pq9Rt7Vw3Yb5N", "Zx81kQ0aLm2Pq9Rt7Vw3Yb5NcQ==", "q8Zx81kQ0aLm2Pq9Rt7Vw3Yb5=Nc4Xt6Gh1Jk9Lw2Sd8Fv3Bz0"]
+    texts = [f"{name}={value}" for name in ("aws_secret_access_key", "private_key", "export MY2_SIGNING_KEY_OF_2024") for value in values]
+    texts += [f"build_number={v}" for v in values] + ["private_key=abcdefghijklmnopqrstuvwxyz0123456789"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == (f"novel:{text.index('=') + 1}:{len(text)}" if k < 3 * len(values) else ""), text
+    assert {r.text for r in secrets.redact(docs).where("doc_id < 12").collect()} == {f"{t.split('=')[0]}=[REDACTED]" for t in texts[:12]}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(3)
