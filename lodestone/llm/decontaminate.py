@@ -5,7 +5,8 @@ hash. A shingle that several items hold weighs 1, any other 2.
 
 1. Regions. A window as similar to an item as asked shares shingles with it. So only places of a document that hold an
    item's shingle matter, and only windows of the length of such items; and a window needs as many of them as the
-   similarity implies. All this loses no match.
+   similarity implies. All this loses no match. A document shorter than the item is one window, its whole text; as it may
+   weigh less than the item, it may lack more of the item's shingles.
 2. SimHash. Each item, and each item-sized window of a region, gets a weighted 64-bit SimHash. Votes of eight bits are added
    at once, in byte lanes of a long: a lane holds at most `MOST_WEIGHT`. Longer windows keep their votes in several groups
    of shingles which are added lane by lane.
@@ -84,13 +85,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     # at least the share of the heaviest shingles is met by counting places, as 2 is the greatest weight and 1 the least
     part = 2 * similarity / (1 + similarity)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    places = shingle_rows(text.select("doc_id", words(F.col("text")).alias("w")), "w", "pos", "h")
+    worded = text.select("doc_id", words(F.col("text")).alias("w")).withColumn("m", F.size("w"))
+    places = shingle_rows(worded, "w", "pos", "h")
     small = shared.count() <= BROADCAST
     known = F.broadcast(shared) if small else shared  # beyond the bound both sides are shuffled
-    hits = scratch.save(places.join(known, "h").select("doc_id", "pos", F.explode("lengths").alias("n")).groupBy("doc_id", "n").agg(F.sort_array(F.collect_set("pos")).alias("at")), "hits")
+    hits = scratch.save(places.join(known, "h").select("doc_id", "m", "pos", F.explode("lengths").alias("n")).groupBy("doc_id", "n").agg(F.min("m").alias("m"), F.sort_array(F.collect_set("pos")).alias("at")), "hits")
     # a window may begin before its first known shingle by as many places as may be unknown
-    unknown = F.floor((F.col("n") - (SHINGLE - 1)) * (1 - part) * 2).cast("int")
-    starts = F.explode(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p - F.col("unknown")), p))))).alias("s")
+    # the whole text of a shorter document has J <= common weight / W, so that the item may lack (1 - s) W
+    short = F.col("m") < F.col("n")
+    unknown = F.floor((F.col("n") - (SHINGLE - 1)) * F.when(short, 1 - similarity).otherwise(1 - part) * 2 + 1e-9).cast("int")
+    begins = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p - F.col("unknown")), p))))
+    starts = F.explode(F.when(short, F.array_union(F.array(F.lit(0)), begins)).otherwise(begins)).alias("s")
     last = F.col("s") + F.col("n") - SHINGLE
     within = F.size(F.filter("at", lambda p: (p >= F.col("s")) & (p <= last)))
     windows = (
@@ -100,7 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     )
     by_doc = scratch.save(windows.groupBy("doc_id").agg(F.collect_list(F.struct("n", "s")).alias("windows")), "windows")
     held = by_doc.join(text, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "windows", words(F.col("text")).alias("w")).select("doc_id", "w", F.explode("windows").alias("x"))
-    each = held.select("doc_id", F.col("x.n").alias("n"), F.col("x.s").alias("s"), F.slice("w", F.col("x.s") + 1, F.col("x.n")).alias("w")).where("size(w) = n")  # else it reaches beyond the end
+    each = held.select("doc_id", F.col("x.n").alias("n"), F.col("x.s").alias("s"), F.slice("w", F.col("x.s") + 1, F.col("x.n")).alias("w")).where("size(w) = n OR s = 0")  # else it reaches beyond the end
     window_rows = shingle_rows(each, "w", "_at", "h").join(F.broadcast(shared.select("h", "weight")) if small else shared.select("h", "weight"), "h", "left")
     groups = F.ceil((F.col("n") - (SHINGLE - 1)) / (MOST_WEIGHT // 2)).cast("int").alias("_groups")
     window_rows = scratch.save(window_rows.select("doc_id", "n", "s", "h", "_at", groups, F.coalesce("weight", F.lit(2)).cast("long").alias("weight")), "window-shingles")
@@ -114,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     indexed = theirs.select("item_id", "n", F.col("fingerprint").alias("of_item"), blocks).select("item_id", "n", "of_item", "b.k", F.explode(F.transform(near, lambda x: F.col("b.v").bitwiseXOR(x))).alias("v"))
     looked = ours.select("doc_id", "n", "s", "fingerprint", blocks).select("doc_id", "n", "s", "fingerprint", "b.k", "b.v")
     hamming = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
-    # windows are item-sized: an item is held against windows of its own length
+    # windows are item-sized, or whole documents that are shorter: an item is held against windows for its own length
     pairs = looked.join(indexed, ["n", "k", "v"]).withColumn("hamming", hamming).where(F.col("hamming") <= radius).select("doc_id", "n", "s", "item_id", "hamming").distinct()
 
     def multiset(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -128,7 +133,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         F.lit(0).cast("long"), lambda acc, x: acc + F.least(x["c"], x["d"]) * x["w"],
     )
     scored = both.withColumn("met", met).withColumn("similarity", F.col("met") / (F.col("w_a") + F.col("w_b") - F.col("met"))).where(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("s")).alias("s"), "n")).alias("x"))
+    n_words = F.aggregate("a", F.lit(SHINGLE - 1).cast("long"), lambda acc, x: acc + x["c"])
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("s")).alias("s"), n_words.cast("int").alias("n"))).alias("x"))
     found = scratch.save(best.select("doc_id", "item_id", (-F.col("x.s")).cast("int").alias("start_word"), F.col("x.n").alias("n_words"), (-F.col("x.h")).cast("int").alias("hamming"), F.round("x.similarity", 6).alias("similarity")), "found")
     scratch.drop("items", "shingles", "hits", "windows", "window-shingles", "item-shingles", "pairs")
     return found
