@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of least doc_id stays, and one row of rows that repeat a doc_id."""
-    kept = _without(docs, ngram_join.jaccard_components(docs).where("doc_id <> component_id"))
+    kept = _without(docs, ngram_join.jaccard_components(docs, links=False).where("doc_id <> component_id"))
     again = Window.partitionBy(F.coalesce(F.col("doc_id"), F.xxhash64(*docs.columns)), F.col("doc_id").isNull()).orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1").select(docs.columns)
 

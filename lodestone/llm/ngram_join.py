@@ -14,9 +14,11 @@ takes part in the join.
    differ in, so that one part is equal in both, and each part's tokens make one combination. A pair that shares only
    frequent tokens in its prefixes has such an extended prefix on both sides and shares a combination.
 4. Verify. First each set meets the least set of the bucket that it most often shares, which joins groups of copies as
-   stars, not as all their pairs. Then only pairs of a bucket whose sets are in different components yet are compared. Each
+   stars, not as all their pairs. Then pairs of a bucket whose sets are in different components yet are compared. Each
    comparison is of whole sets.
 5. Components by alternating large-star and small-star steps.
+6. Links, where they are asked for: the candidate pairs within a component of stars are compared as well, so that all links
+   of a set are counted.
 
 Cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer words than a shingle: the
 whole sequence is the one token; rows that repeat a doc_id give a row each; a null doc_id gets a row and is linked with
@@ -161,8 +163,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         state = now
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (sets of other texts found to link with this one's on the way)."""
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other sets that link with this text's); without links that column is left out."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     sets, levels = _sets_and_sketch(docs, size, scratch)
@@ -262,17 +264,24 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     x, y = rest.select(F.col("cls").alias("x"), "sig", F.col("component").alias("c"), "n", "weight"), rest.select(F.col("cls").alias("y"), "sig", F.col("component").alias("d"), F.col("n").alias("m"))
     across = x.join(y, "sig").where((F.col("c") < F.col("d")) & (F.greatest("n", "m") * percent <= 100 * F.least("n", "m")))
     second = verified(alike(across.groupBy("x", "y").agg(F.sum("weight").alias("shared")), "x", "y"), "second")
-    links = first.unionByName(second)
-    final = scratch.save(components(edges(links), scratch, "all"), "final")
-    degree = links.select(F.explode(F.array("x", "y")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    final = scratch.save(components(edges(first.unionByName(second)), scratch, "all"), "final")
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id")]
+    if not links:
+        of_class = scratch.save(classes.join(final, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id")), "of_class")
+        scratch.drop("buckets", "first", "second", "known", "rest")
+        return sets.join(of_class, "cls", "left").select(*out)
+    # within a component of stars too; its stars' own links are among these
+    own = in_star.join(classes.select("cls", "n"), "cls")
+    x, y = own.select(F.col("cls").alias("x"), "sig", "component", "n", "weight"), own.select(F.col("cls").alias("y"), "sig", "component", F.col("n").alias("m"))
+    inside = x.join(y, ["sig", "component"]).where((F.col("x") < F.col("y")) & (F.greatest("n", "m") * percent <= 100 * F.least("n", "m")))
+    third = verified(alike(inside.groupBy("x", "y").agg(F.sum("weight").alias("shared")), "x", "y"), "third")
+    degree = second.unionByName(third).select(F.explode(F.array("x", "y")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     of_class = scratch.save(
         classes.join(final, "node", "left").join(degree, "cls", "left")
         .select("cls", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "of_class"
     )
-    scratch.drop("buckets", "first", "second", "known", "rest")
-    return sets.join(of_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    scratch.drop("buckets", "first", "second", "third", "known", "rest")
+    return sets.join(of_class, "cls", "left").select(*out, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

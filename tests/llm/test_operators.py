@@ -131,6 +131,19 @@ def test_ngram_join(docs, empty, rows, rare, monkeypatch):
     assert ngram_join.jaccard_components(empty).collect() == []
 
 
+def test_ngram_join_counts_all_links(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    near = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(base))
+    texts = [near(20 * k) for k in range(8)] + [near(0), near(0, 50, 90), near(*range(5, 200, 20)), "quite another text than all of these"]
+    grams = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    sets = set(map(frozenset, grams))
+    want = {k: sum(1 for o in sets if o != g and 100 * len(g & o) >= 85 * len(g | o)) for k, g in enumerate(grams)}
+    assert want[0] >= 7
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in ngram_join.jaccard_components(docs).collect()} == want
+
+
 def test_size_classes():
     for percent in (80, 85, 90):
         for n in range(1, 400):
