@@ -6,15 +6,16 @@ first `gap` words, the same in both occurrences, and `passage - gap + 1` words f
 
 1. Suffixes whose stem occurs once have no neighbour to match. A bit filter of bounded size holds the other stems; a second
    reading of the texts keeps the suffixes with such stems, with the words on either side of the stem.
-2. Sort: the suffixes are sorted by stem, then by the words that follow it, then by those that precede it, each partition
-   holding whole stems. A stem with more than `HOT` suffixes is dealt over several partitions by document; each part of it
-   is sorted and compared for itself.
-3. Compare: each suffix is matched with both neighbours, and the match is extended to the left and to the right word by
-   word, up to `gap` words: further words belong to the next retained suffix of the passage.
+2. Sort: the suffixes of a stem are sorted twice, by the words that follow it and by those that precede it, each partition
+   holding whole stems.
+3. Compare: each suffix is matched with its neighbours in either order, which have its longest match to the right and to the
+   left, word by word, up to `gap` words: further words belong to the next retained suffix of the passage. The suffixes of a
+   stem with more than `HOT` of them aren't brought together: the distinct runs of words beside it are grouped by the hashes
+   of their beginnings, and the longest beginning that another suffix has is the match.
 4. The extended matches of a document that touch are joined to maximal spans.
 
 A span is a whole repeat of at least `passage - gap + 1` words, and all words of a repeated passage of `passage` words or
-more are in spans, but for words beyond a neighbour's own match at either end.
+more are in spans.
 
 Cases: null and empty texts and texts shorter than a passage give no spans; rows with a null doc_id give none; rows that
 repeat a doc_id count as occurrences of their own; an empty table gives no rows; other columns are ignored.
@@ -46,8 +47,8 @@ def suffixes(words: np.ndarray, passage: int, gap: int) -> tuple[np.ndarray, np.
 def common(a: bytes, b: bytes) -> int:
     """Words of 8 bytes that both start with."""
     n = min(len(a), len(b)) // 8
-    if not n:
-        return 0
+    if not n or a == b:
+        return n
     differ = np.flatnonzero(np.frombuffer(a, np.uint64, n) != np.frombuffer(b, np.uint64, n))
     return int(differ[0]) if len(differ) else n
 
@@ -76,40 +77,53 @@ def spans(docs: DataFrame, passage: int = 50, gap: int = 16) -> DataFrame:
                 yield batch(schema, list(zip(*out, strict=True)))
 
     kept = scratch.save(_input(docs).where("doc_id IS NOT NULL").mapInArrow(retain, "stem long, doc_id long, pos int, before binary, after binary"), "suffixes")
-    each = kept.groupBy("stem").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1")
-    deal = F.when(F.col("n") > HOT, F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.expr(f"n div {HOT // 2}")))).otherwise(0)
+    each = scratch.save(kept.groupBy("stem").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where("n > 1"), "groups")
 
     def compare(batches):
+        """Of rows sorted by stem each suffix's match; a stem's suffixes, HOT at most, are held together."""
         schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("n", pa.int64()), ("first_doc_id", pa.int64()), ("later", pa.bool_())])
-        last, out = None, []
-        left = right = 0  # of the last suffix, as far as its neighbours so far match
+        held, out = [], []
 
         def close():
-            x = last
-            return (x[2], x[3] - left, x[3] + stem + right, x[6], x[7], (x[7], x[8]) != (x[2], x[3]))
+            reach = {3: [0] * len(held), 4: [0] * len(held)}  # to the left and to the right
+            for k, best in reach.items():
+                order = sorted(range(len(held)), key=lambda i: held[i][k])
+                for i, j in zip(order, order[1:], strict=False):
+                    c = common(held[i][k], held[j][k])
+                    best[i], best[j] = max(best[i], c), max(best[j], c)
+            out.extend((x[1], x[2] - l, x[2] + stem + r, x[5], x[6], (x[6], x[7]) != (x[1], x[2])) for x, l, r in zip(held, reach[3], reach[4], strict=True))
+            held.clear()
 
         for part in batches:
-            for row in zip(*(part.column(k).to_pylist() for k in ("stem", "salt", "doc_id", "pos", "before", "after", "n", "first_doc_id", "first_pos")), strict=True):
-                l = r = 0
-                if last is not None:
-                    if row[:2] == last[:2]:
-                        l, r = common(row[4], last[4]), common(row[5], last[5])
-                        left, right = max(left, l), max(right, r)
-                    out.append(close())
-                last, left, right = row, l, r
+            for row in zip(*(part.column(k).to_pylist() for k in ("stem", "doc_id", "pos", "before", "after", "n", "first_doc_id", "first_pos")), strict=True):
+                if held and row[0] != held[0][0]:
+                    close()
+                held.append(row)
             if out:
                 yield batch(schema, list(zip(*out, strict=True)))
-                out = []
-        if last is not None:
-            yield batch(schema, [[v] for v in close()])
+                out.clear()
+        close()
+        if out:
+            yield batch(schema, list(zip(*out, strict=True)))
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = ["doc_id", "pos", "before", "after", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_pos")]
     matched = (
-        kept.join(each, "stem").withColumn("salt", deal.cast("int"))
-        .select("stem", "salt", "doc_id", "pos", "before", "after", "n", F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_pos"))
-        .repartition(n, "stem", "salt").sortWithinPartitions("stem", "salt", "after", "before", "doc_id", "pos")
+        kept.join(each.where(F.col("n") <= HOT), "stem").select("stem", *places).repartition(n, "stem").sortWithinPartitions("stem")
         .mapInArrow(compare, "doc_id long, lo int, hi int, n long, first_doc_id long, later boolean")
     )
+    large = each.where(F.col("n") > HOT)
+    if not large.isEmpty():
+        hot = kept.join(F.broadcast(large), "stem").select("stem", *places)  # stems: one of HOT suffixes at most
+        for side in ("before", "after"):
+            values = hot.groupBy("stem", F.col(side).alias("v")).agg(F.count("*").alias("c")).where("length(v) >= 8")
+            begun = values.withColumn("k", F.explode(F.expr("sequence(1, length(v) div 8)"))).withColumn("key", F.expr("xxhash64(stem, k, substring(v, 1, 8 * k))"))
+            met = begun.groupBy("key").agg(F.sum("c").alias("m")).where("m > 1").select("key")
+            best = begun.join(met, "key").groupBy("stem", F.col("v").alias(side)).agg(F.max("k").alias(f"n_{side}"))
+            hot = hot.join(best, ["stem", side], "left")
+        later = (F.col("first_doc_id") != F.col("doc_id")) | (F.col("first_pos") != F.col("pos"))
+        lo, hi = F.col("pos") - F.coalesce("n_before", F.lit(0)), F.col("pos") + stem + F.coalesce("n_after", F.lit(0))
+        matched = matched.unionByName(hot.select("doc_id", lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), "n", "first_doc_id", later.alias("later")))
     by_doc = matched.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "n", "first_doc_id", "later"))).alias("runs"))
 
     def join(batches):
@@ -130,7 +144,7 @@ def spans(docs: DataFrame, passage: int = 50, gap: int = 16) -> DataFrame:
                 yield batch(schema, list(zip(*out, strict=True)))
 
     found = scratch.save(by_doc.mapInArrow(join, "doc_id long, start_word int, end_word int, n_words int, n_occurrences long, first_doc_id long, is_first boolean"), "spans")
-    scratch.drop("stems", "suffixes")
+    scratch.drop("stems", "suffixes", "groups")
     return found
 
 

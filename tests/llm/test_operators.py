@@ -203,6 +203,28 @@ def test_suffix_dedup(docs, empty, rows):
     assert suffix_dedup.spans(empty).collect() == []
 
 
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_suffix_dedup_covers_whole_passages(spark, hot, monkeypatch):
+    """Documents share a core and more or less of two contexts on either side of it; large groups have nothing left out."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(40):
+        core, left, right = prose(38), [prose(14) for _ in range(3)], [prose(14) for _ in range(3)]
+        for _ in range(7):
+            a, b = rng.randint(0, 14), rng.randint(0, 14)
+            text = prose(20) + rng.choice(left)[14 - a :] + core + rng.choice(right)[:b] + prose(20)
+            rows.append((len(rows), " ".join(text)))
+    whole, stem = _covered(rows, 50), _covered(rows, 35)
+    got = defaultdict(set)
+    for r in suffix_dedup.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert any(whole.values())
+    for k in whole:
+        assert whole[k] <= got[k] <= stem[k]
+
+
 def test_decontaminate(spark, docs, empty, rows):
     item = words(rows[8][1])[30:75]
     changed = [*item[:20], "other", *item[21:]]
