@@ -44,7 +44,7 @@ def _turns(t):
 
 @query("lexical_copy_turns")
 def lexical_copy_turns(t):
-    return _turns(t).select("conv_id", "turn", textudf.common_run_of("prev", "text").alias("run"), textudf.bleu_of("prev", "text").alias("bleu"), textudf.sequence_ratio(F.substring("prev", 1, 200), F.substring("text", 1, 200)).alias("ratio_200"))
+    return _turns(t).select("conv_id", "turn", textudf.common_run_of("prev", "text").alias("run"), textudf.bleu_of("prev", "text").alias("bleu"), textudf.sequence_ratio("prev", "text").alias("ratio"))
 
 
 @query("entity_extract")

@@ -161,3 +161,11 @@ def test_spans_do_not_overlap():
     found = entities.spans("On March 12, 2022 Acme Widgets Inc paid $1,200 to a@b.com for 3 days.")
     assert [x["type"] for x in found] == ["DATE", "ORG", "MONEY", "EMAIL", "MEDICAL_VALUE"]
     assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_copies_late_in_a_turn(spark, tmp_path):
+    from lodestone.plans import registry
+
+    rows = [("c", 0, "a" * 200 + "the copied part " * 20), ("c", 1, "b" * 200 + "the copied part " * 20)]
+    spark.createDataFrame(rows, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert registry.queries()["lexical_copy_turns"](spark, str(tmp_path)).first().ratio == round(320 / 520, 6)
