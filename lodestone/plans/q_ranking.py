@@ -218,9 +218,18 @@ def stratified_roundrobin(t):
 
 @query("distinct_source_sample")
 def distinct_source_sample(t):
-    """Stratified, preferring sources not yet drawn: a greedy walk over at most 40 candidates a stratum."""
-    k = F.row_number().over(Window.partitionBy("lang").orderBy(rank_of()))
-    few = t("documents").select("doc_id", "lang", "source", k.alias("k"), F.lit(0).alias("all")).where("k <= 40")
+    """Stratified, preferring sources not yet drawn: a greedy walk. Of a stratum it can only reach the first rows of its 40 first
+    sources, and its 40 first rows for the fill."""
+    rows = t("documents").select("doc_id", "lang", "source", rank_of().alias("h"))
+    k = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = rows.withColumn("k", k.cast("long")).where("k <= 40").select("doc_id", "lang", "source", "k")
+    first = rows.groupBy("lang", "source").agg(F.min(F.struct("h", "doc_id")).alias("x")).select("lang", "source", "x.h", "x.doc_id").withColumn("j", k - 1).where("j < 40")
+    # the rank of such a row in its stratum, from counts of the rows between them
+    ends = first.groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("ends")).withColumnRenamed("lang", "of")
+    below = rows.join(F.broadcast(ends), F.col("lang").eqNullSafe(F.col("of"))).groupBy("of", F.size(F.filter("ends", lambda e: e < F.col("h"))).alias("at")).agg(F.count("*").alias("c"))
+    ranked = below.select("of", "at", F.sum("c").over(Window.partitionBy("of").orderBy("at")).alias("k"))
+    far = first.join(ranked, F.col("lang").eqNullSafe(F.col("of")) & (F.col("at") == F.col("j"))).where("k > 40").select("doc_id", "lang", "source", "k")
+    few = few.unionByName(far).withColumn("all", F.lit(0))
 
     def walk(rows):
         seen, taken = set(), []

@@ -169,3 +169,25 @@ def test_copies_late_in_a_turn(spark, tmp_path):
     rows = [("c", 0, "a" * 200 + "the copied part " * 20), ("c", 1, "b" * 200 + "the copied part " * 20)]
     spark.createDataFrame(rows, "conv_id string, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert registry.queries()["lexical_copy_turns"](spark, str(tmp_path)).first().ratio == round(320 / 520, 6)
+
+
+def test_distinct_source_sample_reaches_rare_sources(spark, tmp_path):
+    import hashlib
+    import random
+
+    from lodestone.plans import registry
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice("abc"), f"s{rng.randrange(30)}" if rng.random() < 0.02 else "most") for k in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    order, n = [], {}
+    for _, d, lang, source in sorted((hashlib.sha256(f"42\0{d}".encode()).hexdigest(), d, lang, source) for d, lang, source in rows):
+        n[lang] = n.get(lang, 0) + 1
+        order.append((n[lang], lang, d, source))
+    seen, taken = set(), []
+    for again in (False, True):
+        for _, _, d, source in sorted(order):
+            if len(taken) < 40 and d not in taken and (again or source not in seen):
+                seen.add(source)
+                taken.append(d)
+    assert sorted(r.doc_id for r in registry.queries()["distinct_source_sample"](spark, str(tmp_path)).collect()) == sorted(taken)
