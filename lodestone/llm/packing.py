@@ -22,12 +22,9 @@ each packed; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import deque
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,94 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._base import Scratch, batch, text_chunks
+from lodestone.llm.word_ids import SpacedWords, word_ids
 
-#: Words whose ids a worker remembers; when it is full the later half, of rarer words, is forgotten.
-MEMO_WORDS = 1_600_000
-_CLOSING = (".", ",")
-#: White space other than a space or line end.
-_ODD_SPACE = re.compile("[\\s\u180e\u200b\ufeff]")
-
-
-class SpacedTokens:
-    """Ids of a text of a byte-level tokenizer that splits before a space and around a line end.
-
-    Where every white space is a single space or line end between other characters, no pre-token spans it: the ids are
-    those of ' word' after ' word'. Other texts are given whole to the tokenizer."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.newline = self.whole("\n")
-        # by word: its ids at the start of a line, and after a space; None for what must not be cut at its edges
-        self.first: dict[str, bytes | None] = {"": None}
-        self.spaced: dict[str, bytes | None] = {"": None}
-        space = self.tokenizer.id_to_token(self.ids_of([" a"])[0][0])[0]
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.opens[[k for word, k in self.tokenizer.get_vocab().items() if word.startswith(space)]] = True
-
-    def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.ids_of([text])[0], self.dtype).tobytes()
-
-    def learn(self, memo: dict, words: set[str], before: str) -> None:
-        new = words - memo.keys()
-        if len(memo) + len(new) > MEMO_WORDS:
-            for word in list(islice(reversed(memo), len(memo) // 2)):
-                del memo[word]
-            memo[""] = None
-            new = words - memo.keys()
-        # a closing point or comma after a plain letter or digit is a pre-token of its own
-        bare = {w[:-1] if w[-1] in _CLOSING and w[-2:-1].isascii() and w[-2:-1].isalnum() else w for w in new}
-        for word in [w for w in bare if _ODD_SPACE.search(w)]:
-            memo[word] = None
-        bare = list(bare - memo.keys())
-        for at in range(0, len(bare), 500):
-            part = bare[at : at + 500]
-            if before:  # in one text: a token that begins with the space opens the next word
-                ids = np.array(self.ids_of(["".join([before + w for w in part])])[0], self.dtype)
-                found = np.split(ids, np.flatnonzero(self.opens[ids])[1:])
-                if len(found) != len(part):
-                    found = [np.array(x, self.dtype) for x in self.ids_of([before + w for w in part])]
-            else:
-                found = [np.array(x, self.dtype) for x in self.ids_of(part)]
-            memo.update(zip(part, (x.tobytes() for x in found), strict=True))
-        for word in new:
-            if word not in memo:
-                body = memo[word[:-1]]
-                memo[word] = None if body is None else body + self.closing(word[-1])
-
-    def closing(self, mark: str) -> bytes:
-        if mark not in self.first:
-            self.first[mark] = self.whole(mark)
-        return self.first[mark]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text."""
-        parts = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        self.learn(self.first, {line[0] for lines in parts for line in lines}, "")
-        self.learn(self.spaced, set().union(*(line[1:] for lines in parts for line in lines)), " ")
-        first, spaced, out = self.first.__getitem__, self.spaced.__getitem__, []
-        for text, lines in zip(texts, parts, strict=True):
-            try:
-                out.append(self.newline.join([first(line[0]) + b"".join(map(spaced, line[1:])) for line in lines]))
-            except TypeError:  # a None: white space beside white space, or of another kind
-                out.append(self.whole(text))
-        return out
-
-
-_TOKENS: dict[str, SpacedTokens] = {}
-
-
-def spaced_tokens(path: str) -> SpacedTokens:
-    if path not in _TOKENS:
-        _TOKENS[path] = SpacedTokens(path)
-    return _TOKENS[path]
-
+#: Bytes of text that a worker turns into ids at once.
+CHUNK_BYTES = 4 << 20
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -132,11 +45,11 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, size: int, end_id: int) -> D
     """A row for each piece of each document, with the checksum of its ids."""
 
     def cut(batches):
-        tokens = spaced_tokens(tokenizer_path)
-        for rows, texts in text_chunks(batches):
+        tokens = word_ids(SpacedWords, tokenizer_path)
+        for rows, texts in text_chunks(batches, CHUNK_BYTES):
             out = []
-            for doc_id, own in zip(rows.column("doc_id").to_pylist(), tokens.ids([t.decode() for t in texts]), strict=True):
-                ids = np.append(np.frombuffer(own, tokens.dtype), tokens.dtype.type(end_id)).astype("<u4")
+            for doc_id, own in zip(rows.column("doc_id").to_pylist(), tokens.encode(texts), strict=True):
+                ids = np.append(own, tokens.dtype.type(end_id)).astype("<u4")
                 first = len(ids) % size or size
                 for piece, start in enumerate([0, *range(first, len(ids), size)]):
                     end = first if piece == 0 else start + size
