@@ -13,11 +13,9 @@ an empty table gives no file and no row; other columns are ignored.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._base import Scratch, batch, text_chunks
+from lodestone.llm.word_ids import LowerWords, word_ids
 
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 1_600_000
-_CLOSING = {b".", b","}
+#: Bytes of text that a worker turns into ids at once.
+CHUNK_BYTES = 4 << 20
 _MASK_DELTA = 0xA282EAD8
 _NULL_ID = -(1 << 63)
 
@@ -51,44 +49,6 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-class WordTokens(dict):
-    """Ids of a word as bytes. For tokenizers that drop white space and treat the words between it on their own, the ids
-    of a text are those of its words in a row."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def learn(self, words: set[bytes]) -> None:
-        """Adds the words that are new. A closing point or comma after a plain letter or digit is a token of its own."""
-        new = words - self.keys()
-        if len(self) + len(new) > MEMO_WORDS:  # the later half, of rarer words, is forgotten
-            for word in list(islice(reversed(self), len(self) // 2)):
-                del self[word]
-            new = words - self.keys()
-        bare = {w[:-1] if w[-1:] in _CLOSING and w[-2:-1].isalnum() else w for w in new} | _CLOSING
-        bare = list(bare - self.keys())
-        for at in range(0, len(bare), 20_000):
-            part = bare[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
-        for w in new:
-            if w not in self:
-                self[w] = self[w[:-1]] + self[w[-1:]]
-
-
-_TOKENS: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
-
-
 def open_out(path: str):
     from pyarrow import fs
 
@@ -114,18 +74,15 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     def write(batches):
         from pyspark import TaskContext
 
-        ids, part = word_tokens(tokenizer_path), TaskContext.get().partitionId()
+        ids, part = word_ids(LowerWords, tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], ids.dtype).tobytes()
         where, inner = open_out(folder)
         where.create_dir(f"{inner}/data", recursive=True)
         name, out, offset, start = f"data/part-{part:05d}-{uuid.uuid4().hex}.bin", None, 0, 0
-        for rows, texts in text_chunks(batches):
-            # the tokenizer lowers all letters; lowering A-Z before makes fewer words. Its special tokens are in lower case
-            words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-            ids.learn(set().union(*words))
+        for rows, texts in text_chunks(batches, CHUNK_BYTES):
             index = []
-            for doc_id, own in zip(rows.column("doc_id").to_pylist(), words, strict=True):
-                tokens = b"".join(map(ids.__getitem__, own)) + end
+            for doc_id, own in zip(rows.column("doc_id").to_pylist(), ids.encode(texts), strict=True):
+                tokens = own.tobytes() + end
                 record = frame(struct.pack("<q", _NULL_ID if doc_id is None else doc_id) + tokens)
                 out = out or where.open_output_stream(f"{inner}/{name}")
                 out.write(record)
@@ -175,7 +132,7 @@ def token_binary(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     before, total = {}, 0
     for part, n in sorted(tuple(r) for r in index.groupBy("part").agg(F.sum("n_tokens")).collect()):  # a row a file
         before[part], total = total, total + n
-    return read_records(index, folder, word_tokens(tokenizer_path).dtype.str, before)
+    return read_records(index, folder, word_ids(LowerWords, tokenizer_path).dtype.str, before)
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
