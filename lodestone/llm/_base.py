@@ -129,12 +129,16 @@ def rolling(words: np.ndarray, size: int) -> np.ndarray:
         width, at = 2 * width, at + 1
 
 
-#: Bits of a value that give way to its place where leftmost minima are sought; texts of more words are not met.
+#: Bits of a value that give way to its place where leftmost minima are sought, and values that are looked through at once.
 _PLACE = np.uint64((1 << 26) - 1)
+_AT_ONCE = 1 << 26
 
 
-def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
+def leftmost_minima(values: np.ndarray, width: int, at_once: int = _AT_ONCE) -> np.ndarray:
     """Where the least value (its upper 38 bits) of each stretch of width values is, the leftmost of equals."""
+    if len(values) > at_once:  # pieces that overlap, so that each stretch lies in one
+        starts = range(0, len(values) - width + 1, at_once - width + 1)
+        return np.concatenate([leftmost_minima(values[a : a + at_once], width, at_once) + a for a in starts])
     low = (values & ~_PLACE) | np.arange(len(values), dtype=np.uint64)
     step = 1
     while 2 * step <= width:

@@ -18,7 +18,8 @@ No shard is broadcast to all documents: the number of shards grows with the corp
 
 Cases: a null or empty text has no words; fewer words than a window: nothing is removed; rows with a null doc_id have no
 place in the order and are kept whole; rows that repeat a doc_id with the same text are one document written twice, and
-get the same result; an empty table gives no rows; other columns are ignored.
+get the same result; of rows that repeat a doc_id with other text the one of lesser xxhash64 of its text is the earlier; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def hashed_input(docs: DataFrame) -> DataFrame:
+    """The rows that have a place in the order: by doc_id, then by a hash of the text where a doc_id repeats."""
+    return _input(docs).where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(b""))))
+
+
 def repeated_hashes(docs: DataFrame, hashes_of, scratch: Scratch, name: str) -> BitFilter:
     """A filter of the hashes that hashes_of(words) gives more than once over all documents."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
@@ -63,15 +69,15 @@ def repeated_hashes(docs: DataFrame, hashes_of, scratch: Scratch, name: str) ->
     return BitFilter.build(repeated, "h", repeated.count())
 
 
-def earlier_windows(shard: list[tuple[int, int, np.ndarray]], window: int) -> list[tuple[int, int, int]]:
+def earlier_windows(shard: list[tuple[tuple, int, np.ndarray]], window: int) -> list[tuple[tuple, int, int]]:
     """(document, first, last window) for the windows of a shard's contexts (document, start, words) whose words also
-    start earlier in the shard."""
+    start earlier in the shard. A document is whatever orders it."""
     shard = sorted(shard, key=lambda x: x[:2])
-    low = shard[0][0]
+    rank = {doc: k for k, doc in enumerate(sorted({x[0] for x in shard}))}
     follow: list[dict] = [{}]
     link, size, first = [-1], [0], [1 << 200]
     for doc, start, words in shard:
-        last, place = 0, ((doc - low) << 40) + start
+        last, place = 0, (rank[doc] << 40) + start
         for end, word in enumerate(words.tolist()):
             where = place + end
             if (known := follow[last].get(word)) is not None:
@@ -120,7 +126,7 @@ def earlier_windows(shard: list[tuple[int, int, np.ndarray]], window: int) -> li
             first[link[state]] = first[state]
     found = []
     for doc, start, words in shard:
-        state, place = 0, ((doc - low) << 40) + start
+        state, place = 0, (rank[doc] << 40) + start
         for end, word in enumerate(words.tolist()):
             state = follow[state][word]  # each context is a path of its own, so that the match is all read so far
             while size[link[state]] >= window:
@@ -135,14 +141,14 @@ def earlier_windows(shard: list[tuple[int, int, np.ndarray]], window: int) -> li
 
 
 def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, lo, hi): the windows lo to hi of the document start earlier, too."""
+    """(doc_id, text_hash, lo, hi): the windows lo to hi of the document start earlier, too."""
     spark = docs.sparkSession
-    rows = _input(docs).where("doc_id IS NOT NULL")
+    rows = hashed_input(docs)
     shared = spark.sparkContext.broadcast(repeated_hashes(docs, lambda w: contexts(w, window)[0], scratch, "repeated"))
 
     def seen(rows_, texts, keep, with_words: bool):
-        out = [[] for _ in range(5)]
-        for doc_id, words in zip(rows_.column("doc_id").to_pylist(), hashed_words(texts), strict=True):
+        out = [[] for _ in range(6)]
+        for doc_id, text_hash, words in zip(rows_.column("doc_id").to_pylist(), rows_.column("text_hash").to_pylist(), hashed_words(texts), strict=True):
             h, lo, hi = contexts(words, window)
             held = shared.value.hits(h)
             if not held.any():
@@ -151,53 +157,52 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
             whole = rolling(words, window)
             c = mix(mix(whole[lo] + (hi - lo).astype(np.uint64)) + whole[hi])
             if keep is not None:
-                held = keep.hits(c ^ (np.uint64(doc_id & (1 << 64) - 1) << np.uint64(20)) ^ lo.astype(np.uint64))
+                of_doc = (doc_id & (1 << 64) - 1) << 20 & (1 << 64) - 1 ^ text_hash & (1 << 64) - 1
+                held = keep.hits(c ^ np.uint64(of_doc) ^ lo.astype(np.uint64))
                 h, lo, hi, c = h[held], lo[held], hi[held], c[held]
             out[0].append(signed(h))
             out[1].extend([words[a : b + window].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)] if with_words else [signed(c)])
             out[2].append(np.full(len(h), doc_id))
-            out[3].append(lo.astype(np.int32))
-            out[4].append(hi.astype(np.int32))
+            out[3].append(np.full(len(h), text_hash))
+            out[4].append(lo.astype(np.int32))
+            out[5].append(hi.astype(np.int32))
         return [x if with_words and k == 1 else np.concatenate(x) for k, x in enumerate(out)] if out[0] else None
 
     def hashes(batches):
-        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+        schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
         for part, texts in text_chunks(batches):
             if (out := seen(part, texts, None, False)) is not None:
                 yield batch(schema, out)
 
-    held = scratch.save(rows.mapInArrow(hashes, "h long, c long, doc_id long, lo int, hi int"), "contexts")
-    each = scratch.save(held.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n")), "distinct")
-    copies = (
-        held.join(each.where("n > 1").select("h", "c", "first"), ["h", "c"])
-        .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo")))
-        .select("doc_id", "lo", "hi")
-    )
+    place = F.struct("doc_id", "text_hash", "lo")
+    later = ~place.eqNullSafe(F.col("first"))
+    held = scratch.save(rows.mapInArrow(hashes, "h long, c long, doc_id long, text_hash long, lo int, hi int"), "contexts")
+    each = scratch.save(held.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct")
+    copies = held.join(each.where("n > 1").select("h", "c", "first"), ["h", "c"]).where(later).select("doc_id", "text_hash", "lo", "hi")
     several = scratch.save(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several")
-    asked = scratch.save(
-        each.join(several.select("h"), "h").select(F.col("c").bitwiseXOR(F.shiftleft("first.doc_id", 20)).bitwiseXOR(F.col("first.lo").cast("long")).alias("k")), "asked"
-    )
+    key = F.col("c").bitwiseXOR(F.shiftleft("first.doc_id", 20)).bitwiseXOR(F.col("first.text_hash")).bitwiseXOR(F.col("first.lo").cast("long"))
+    asked = scratch.save(each.join(several.select("h"), "h").select(key.alias("k")), "asked")
     wanted = spark.sparkContext.broadcast(BitFilter.build(asked, "k", asked.count()))
 
     def strings(batches):
-        schema = pa.schema([("h", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+        schema = pa.schema([("h", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
         for part, texts in text_chunks(batches):
             if (out := seen(part, texts, wanted.value, True)) is not None:
                 yield batch(schema, out)
 
-    reference = scratch.save(rows.mapInArrow(strings, "h long, words binary, doc_id long, lo int, hi int"), "reference")
+    reference = scratch.save(rows.mapInArrow(strings, "h long, words binary, doc_id long, text_hash long, lo int, hi int"), "reference")
     hot = several.where(F.col("n") > SHARD).select("h")
 
     def stream(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
         def compare(shard):
             found = earlier_windows(shard, window)
-            return [batch(schema, list(zip(*found, strict=True)))] if found else []
+            return [batch(schema, list(zip(*((*doc, lo, hi) for doc, lo, hi in found), strict=True)))] if found else []
 
         shard, own, h = [], [], None
         for part in batches:
-            for x, words, doc_id, lo in zip(*(part.column(k).to_pylist() for k in ("h", "words", "doc_id", "lo")), strict=True):
+            for x, words, *doc, lo in zip(*(part.column(k).to_pylist() for k in ("h", "words", "doc_id", "text_hash", "lo")), strict=True):
                 if x != h:
                     if len({key[:2] for key in own}) > 1:
                         shard += own
@@ -205,36 +210,36 @@ def repeated_windows(docs: DataFrame, window: int, scratch: Scratch) -> DataFram
                             yield from compare(shard)
                             shard = []
                     h, own = x, []
-                own.append((doc_id, lo, np.frombuffer(words, np.uint64)))
+                own.append((tuple(doc), lo, np.frombuffer(words, np.uint64)))
         if len(own) > 1:
             shard += own
         if shard:
             yield from compare(shard)
 
     by_automaton = (
-        reference.join(hot, "h", "left_anti").select("h", "words", "doc_id", "lo")
-        .repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "h").sortWithinPartitions("h").mapInArrow(stream, "doc_id long, lo int, hi int")
+        reference.join(hot, "h", "left_anti").select("h", "words", "doc_id", "text_hash", "lo")
+        .repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "h").sortWithinPartitions("h").mapInArrow(stream, "doc_id long, text_hash long, lo int, hi int")
     )
 
     def split(batches):
-        schema = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32())])
+        schema = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.int32())])
         for part in batches:
-            for words, doc_id, lo in zip(*(part.column(k).to_pylist() for k in ("words", "doc_id", "lo")), strict=True):
+            for words, doc_id, text_hash, lo in zip(*(part.column(k).to_pylist() for k in ("words", "doc_id", "text_hash", "lo")), strict=True):
                 w = rolling(np.frombuffer(words, np.uint64), window)
                 v = rolling(mix(np.frombuffer(words, np.uint64) ^ np.uint64(window)), window)
-                yield batch(schema, [signed(w), signed(v), np.full(len(w), doc_id), np.arange(lo, lo + len(w), dtype=np.int32)])
+                yield batch(schema, [signed(w), signed(v), np.full(len(w), doc_id), np.full(len(w), text_hash), np.arange(lo, lo + len(w), dtype=np.int32)])
 
     # both readings of the hot contexts take the same small table
-    alone = scratch.save(reference.join(hot, "h", "left_semi").mapInArrow(split, "w long, v long, doc_id long, lo int"), "hot")
-    firsts = alone.groupBy("w", "v").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    by_hash = alone.join(firsts, ["w", "v"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo"))).select("doc_id", "lo", F.col("lo").alias("hi"))
+    alone = scratch.save(reference.join(hot, "h", "left_semi").mapInArrow(split, "w long, v long, doc_id long, text_hash long, lo int"), "hot")
+    firsts = alone.groupBy("w", "v").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    by_hash = alone.join(firsts, ["w", "v"]).where(later).select("doc_id", "text_hash", "lo", F.col("lo").alias("hi"))
     return copies.unionByName(by_automaton).unionByName(by_hash)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the kept words joined by one space)."""
     scratch = Scratch(docs.sparkSession, "substring")
-    found = scratch.save(repeated_windows(docs, window, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "found")
+    found = scratch.save(repeated_windows(docs, window, scratch).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "found")
     scratch.drop("repeated", "contexts", "distinct", "several", "asked", "reference", "hot")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
@@ -255,7 +260,8 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 out.append((doc_id, len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode()))
             yield batch(schema, list(zip(*out, strict=True)))
 
-    return _input(docs).join(found, "doc_id", "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    rows = _input(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(b""))))
+    return rows.join(found, ["doc_id", "text_hash"], "left").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
