@@ -8,7 +8,9 @@ import json
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
@@ -70,35 +72,36 @@ def bleu4(reference: list[str], said: list[str]) -> float:
     return min(1.0, math.exp(1 - len(reference) / len(said))) * math.exp(logs)
 
 
+def filled(sizes: list[int], room: int, between: int, opened: int) -> list[tuple[int, int]]:
+    """Ranges of units put together in order, each as far as room allows: a unit costs its size and the separator after it,
+    and a range that an overflow opens is spared `opened`. A range has one unit at least."""
+    ends, out = [0, *accumulate(n + between for n in sizes)], []
+    while not out or out[-1][1] < len(sizes):
+        at = out[-1][1] if out else 0
+        out.append((at, max(at + 1, bisect_right(ends, ends[at] + room + (opened if out else 0)) - 1)))
+    return out if sizes else []
+
+
+def _within(paragraph: str, most: int) -> list[str]:
+    """A paragraph as it is, or cut at sentences; sentences that are too long are cut at their length."""
+    if len(paragraph) <= most:
+        return [paragraph]
+    out = []
+    sentences = [s for s in map(str.strip, SENTENCE_END.split(paragraph)) if s]
+    for too_long, run in groupby(sentences, lambda s: len(s) > most):
+        held = list(run)
+        if too_long:
+            out += [s[i : i + most] for s in held for i in range(0, len(s), most)]
+        else:
+            out += [" ".join(held[a:b]) for a, b in filled([len(s) for s in held], most, 1, 1)]
+    return out
+
+
 def paragraph_chunks(text: str | None, least: int = 200, most: int = 3000, target: int = 1000) -> list[str]:
-    """Paragraphs are put together until the next would pass the target; what is too short goes. Paragraphs that are too long
-    are cut at sentences, sentences that are too long at their length."""
-
-    def cut(paragraph: str) -> list[str]:
-        if len(paragraph) <= most:
-            return [paragraph]
-        out, now, room = [], "", most
-        for sentence in filter(None, map(str.strip, SENTENCE_END.split(paragraph))):
-            if now and (len(sentence) > most or len(sentence) + 1 > room):
-                out.append(now)
-                now, room = "", most
-            if len(sentence) > most:
-                out += [sentence[i : i + most] for i in range(0, len(sentence), most)]
-            else:
-                now, room = f"{now} {sentence}" if now else sentence, room - len(sentence) - bool(now)
-        return [*out, now] if now else out
-
-    chunks, now, size = [], [], 0
-    for paragraph in filter(None, map(str.strip, PARAGRAPH_END.split(text or ""))):
-        for part in cut(paragraph):
-            if now and size + len(part) + 2 > target:
-                chunks.append("\n\n".join(now).strip()[:most])
-                now, size = [], 0
-            now.append(part)
-            size += len(part) + 2
-    if now:
-        chunks.append("\n\n".join(now).strip()[:most])
-    return [c for c in chunks if least <= len(c) <= most]
+    """Paragraphs are put together up to the target; what is too short goes."""
+    parts = [x for p in map(str.strip, PARAGRAPH_END.split(text or "")) if p for x in _within(p, most)]
+    chunks = ("\n\n".join(parts[a:b]).strip()[:most] for a, b in filled([len(x) for x in parts], target, 2, 0))
+    return [c for c in chunks if len(c) >= least]
 
 
 def propositions(text: str | None) -> list[tuple[int, int, str]]:

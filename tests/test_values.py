@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import stance
+from lodestone.functions import claims, stance
 from lodestone.functions import text as X
 from lodestone.operators import dedup, entities, metrics, retrieval, scoring, textudf
 
@@ -149,12 +149,41 @@ def test_chunks():
     assert all(200 <= len(c) <= 3000 for c in chunks) and len(chunks) == 3
     assert textudf.paragraph_chunks("short") == [] and textudf.paragraph_chunks(None) == []
     assert all(len(c) <= 300 for c in textudf.paragraph_chunks("x" * 5000, 10, 300, 100))
+    # a run's first sentence is counted with the blank after it, unless it was what didn't fit before
+    assert textudf.paragraph_chunks("aaaaaaaa. bbbbbbbbb. cccc.", 1, 20, 20) == ["aaaaaaaa.", "bbbbbbbbb. cccc."]
 
 
 @pytest.mark.parametrize("value, kind, new", [("$1,000", "MONEY", "$1,050"), ("3.5%", "PERCENT", "3.68%"), ("March 12, 2022", "DATE", "April 11, 2022"), ("3:00 PM", "TIME", "4:00 PM"), ("noon", "TIME", "1:00 PM"), ("1 day", "DURATION", "2 days"), ("a@b.c", "EMAIL", "alternate.contact@b.c"), ("www.x.org/a", "URL", "www.x.org/a/archive"), ("555-123-9998", "PHONE", "555-123-0005"), ("Section 3.2", "SECTION_ID", "Section 3.3"), ("Case A-009", "IDENTIFIER", "Case A-010")])
-def test_changed_values(value, kind, new):
-    assert entities.changed(value, kind) == new
-    assert entities.changed(value, kind) != value
+def test_changed_values(spark, value, kind, new):
+    got = spark.createDataFrame([(value, kind)], "v string, k string").select(entities.changed_value("v", "k")).first()[0]
+    assert got == new
+    assert got != value
+
+
+@pytest.mark.parametrize("value, kind, medium, new", [("1,234.50", "NUMERIC_VALUE", False, "1,296.23"), ("1", "NUMERIC_VALUE", False, "2"), ("none", "MONEY", False, "none"), ("2021-12-30", "DATE", True, "2022-02-28"), ("1/5/2020", "DATE", False, "02/04/2020"), ("13:30", "TIME", False, "14:30"), ("11 pm", "TIME", False, "12 AM"), ("someday 4", "DATE", False, "someday 5"), ("4 weeks", "DURATION", True, "6 weeks"), ("2099", "YEAR", False, "2098"), ("2001", "YEAR", True, "2003"), ("alternate.contact@b.c", "EMAIL", False, "verified.contact@b.c"), ("x", "EMAIL", False, "x.alt"), ("https://x.org/a/archive/?q=1#f", "URL", False, "https://x.org/a/archive-v2?q=1#f"), ("ID AB", "IDENTIFIER", False, "ID ABC"), ("ID 7-", "IDENTIFIER", False, "ID 8-"), (None, "MONEY", False, None)])
+def test_changed_values_at_the_edges(spark, value, kind, medium, new):
+    assert spark.createDataFrame([(value, kind)], "v string, k string").select(entities.changed_value("v", "k", medium)).first()[0] == new
+
+
+def test_picked_values(spark):
+    pool = ["Northfield Group", "Harbor Bank"]
+    rows = spark.createDataFrame([("HARBOR BANK",), ("Northfield Group",), ("Other",)], "v string")
+    got = [r[0] for r in rows.select(entities.pick(F.col("v"), pool)).collect()]
+    assert got[:2] == ["Northfield Group", "Harbor Bank"] and got[2] in pool
+
+
+@pytest.mark.parametrize("value, kind, want", [("J. Doe", "PERSON", "initialed_person_name"), ("dr Doe", "PERSON", "titled_person_name"), ("Doe", "person", "single_person_name"), ("Ann Doe", "PERSON", "multi_token_person_name"), ("Acme Inc.", "ORG", "corporate_organization"), ("State University", "ORG", "academic_or_medical_organization"), ("Energy Agency", "ORG", "government_organization"), ("Paris, France", "LOCATION", "compound_geographic_location"), ("the Hague", "LOCATION", "definite_article_location"), ("Model 5", "PRODUCT", "versioned_or_numbered_product"), ("NASA", "PROJECT_NAME", "acronym_project_name"), ("Manhattan", "PROJECT_NAME", "titled_project_name"), ("lease of land", "CONTRACT_TERM", "named_agreement"), ("pension plan", "CONTRACT_TERM", "contractual_plan_or_policy"), ("notice", "CONTRACT_TERM", "defined_contract_term"), ("5", "MONEY", "money"), ("5", "", "unknown")])
+def test_subtypes(spark, value, kind, want):
+    assert spark.createDataFrame([(value, kind)], "v string, k string").select(claims.subtype(F.col("v"), F.col("k"))).first()[0] == want
+
+
+def test_case_styles_and_forms(spark):
+    values = ["ABC 1", "abc", "New York City", "New york", "12-3", "McDonald"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    assert [r[0] for r in rows.orderBy("i").select(claims.case_style(F.col("v"))).collect()] == ["upper", "lower", "title", "mixed", "no_letters", "title"]
+    pairs = [("New York City", "Old Town Hall", "PRODUCT", True), ("New York City", "New york", "PRODUCT", False), ("A. B", "C D", "PERSON", False), ("A. B", "C D", "ORG", True), ("A, B", "C D", "ORG", False), ("the A", "B", "MONEY", False), ("A 1", "B", "MONEY", False)]
+    rows = spark.createDataFrame(pairs, "a string, b string, k string, want boolean")
+    assert rows.where(claims.compatible(F.col("a"), F.col("b"), F.col("k")) != F.col("want")).count() == 0
 
 
 def test_spans_do_not_overlap():
