@@ -142,13 +142,13 @@ def wilson(t):
 
 @query("bootstrap_auc_ci")
 def bootstrap_auc_ci(t):
-    return metrics.bootstrap_auc(scores(t), "score", _y(), draws=400)
+    return metrics.bootstrap_auc(scores(t), "score", _y(), draws=2000)
 
 
 @query("paired_bootstrap_delta")
 def paired_bootstrap_delta(t):
-    rows = t("labels").join(t("documents"), "doc_id").select((F.col("quality") == 1).alias("y"), F.least("n_chars", F.lit(3000)).alias("a"), (F.col("n_chars") % 97).alias("b"))
-    return metrics.bootstrap_auc_delta(rows, "a", "b", _y(), draws=200)
+    rows = t("labels").join(t("documents"), "doc_id").select((F.col("quality") == 1).alias("y"), F.col("n_chars").alias("a"), (F.col("n_chars") % 97).alias("b"))
+    return metrics.bootstrap_auc_delta(rows, "a", "b", _y(), draws=2000)
 
 
 # ---- responses

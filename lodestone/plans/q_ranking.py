@@ -20,7 +20,7 @@ def rank_of(key="doc_id", salt="42"):
 
 # ---- retrieval
 
-ASKED = "SELECT item_id AS query, array_to_string(regexp_split_to_array(text, '\\s+')[1:8], ' ') AS text FROM benchmark"
+ASKED = "SELECT item_id AS query, text FROM benchmark"
 BM25 = f"""WITH d AS (SELECT doc_id AS doc, {TERMS.format(t="text")} AS k FROM documents), c AS (SELECT count(*) AS n, avg(len(k)) AS avgdl FROM d),
 p AS (SELECT term, doc, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc, len(k) AS dl, unnest(k) AS term FROM d) GROUP BY term, doc), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 q AS (SELECT query, unnest(list_distinct({TERMS.format(t="text")})) AS term FROM ({ASKED})),
@@ -29,7 +29,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
 
 
 def asked(t):
-    return t("benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 8), " ").alias("text"))
+    return t("benchmark").select(F.col("item_id").alias("query"), "text")
 
 
 @query("bm25_topk", f"{BM25} SELECT query, doc, score, rank FROM r WHERE rank <= 5")
