@@ -51,6 +51,48 @@ def subtype_counts(t):
     return t("part").groupBy(C.subtype(F.col("p_name"), F.lit("PRODUCT")).alias("subtype")).agg(F.count("*").alias("n"))
 
 
+_UP = "regexp_matches({v}, '[A-Z]')"
+_LOW = "regexp_matches({v}, '[a-z]')"
+_STYLE = f"CASE WHEN NOT {_UP} AND NOT {_LOW} THEN 'no_letters' WHEN NOT {_LOW} THEN 'upper' WHEN NOT {_UP} THEN 'lower' WHEN len(list_filter(regexp_extract_all({{v}}, '[A-Za-z]+'), lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 THEN 'title' ELSE 'mixed' END"
+_KINDS = "(VALUES ('PERSON'), ('ORG'), ('LOCATION'), ('PRODUCT'), ('PROJECT_NAME'), ('CONTRACT_TERM'), ('MONEY')) k(kind)"
+_NAMED = "(SELECT trim(c_name) AS v FROM customer UNION ALL SELECT trim(p_name) FROM part UNION ALL SELECT trim(n_name) || CASE WHEN n_nationkey % 2 = 0 THEN ', Ministry' ELSE ' Inc. plan' END FROM nation UNION ALL SELECT 'the ' || lower(n_name) || ' agreement' FROM nation UNION ALL SELECT n_name FROM nation)"
+
+
+def _named(t):
+    nation = t("nation")
+    held = [
+        t("customer").select(F.trim("c_name").alias("v")), t("part").select(F.trim("p_name")), nation.select(F.concat(F.trim("n_name"), F.when(F.col("n_nationkey") % 2 == 0, ", Ministry").otherwise(" Inc. plan"))),
+        nation.select(F.concat(F.lit("the "), F.lower("n_name"), F.lit(" agreement"))), nation.select("n_name"),
+    ]
+    rows = held[0]
+    for x in held[1:]:
+        rows = rows.union(x)
+    return rows.withColumn("kind", F.explode(F.array(*(F.lit(k) for k in [*C.SUBTYPES, "MONEY"]))))
+
+
+@query("subtypes_by_kind", f"""SELECT kind, subtype, count(*) AS n FROM (SELECT kind, CASE kind
+WHEN 'PERSON' THEN CASE WHEN regexp_matches(v, '\\b[A-Z]\\.') THEN 'initialed_person_name' WHEN regexp_matches(v, '(?i)^(dr|mr|mrs|ms|prof)\\.?\\s') THEN 'titled_person_name' WHEN len(string_split_regex(v, '\\s+')) = 1 THEN 'single_person_name' ELSE 'multi_token_person_name' END
+WHEN 'ORG' THEN CASE WHEN regexp_matches(lower(v), '\\b(inc|corp|corporation|llc|ltd|limited|plc|co)\\b') THEN 'corporate_organization' WHEN regexp_matches(lower(v), '\\b(university|college|institute|laboratory|laboratories|hospital)\\b') THEN 'academic_or_medical_organization'
+WHEN regexp_matches(lower(v), '\\b(ministry|department|commission|agency|authority|council)\\b') THEN 'government_organization' ELSE 'named_organization' END
+WHEN 'LOCATION' THEN CASE WHEN contains(v, ',') THEN 'compound_geographic_location' WHEN lower(v) LIKE 'the %' THEN 'definite_article_location' ELSE 'named_geographic_location' END
+WHEN 'PRODUCT' THEN CASE WHEN regexp_matches(v, '[0-9]') THEN 'versioned_or_numbered_product' WHEN regexp_matches(lower(v), '\\b(software|platform|service|suite|system)\\b') THEN 'software_or_service_product' ELSE 'named_product' END
+WHEN 'PROJECT_NAME' THEN CASE WHEN {_STYLE.format(v="v")} = 'upper' AND length(v) <= 16 THEN 'acronym_project_name' ELSE 'titled_project_name' END
+WHEN 'CONTRACT_TERM' THEN CASE WHEN regexp_matches(lower(v), '\\b(agreement|contract|lease|license|licence)\\b') THEN 'named_agreement' WHEN regexp_matches(lower(v), '\\b(plan|policy)\\b') THEN 'contractual_plan_or_policy' ELSE 'defined_contract_term' END
+ELSE lower(kind) END AS subtype FROM {_NAMED}, {_KINDS}) GROUP BY kind, subtype""")
+def subtypes_by_kind(t):
+    return _named(t).groupBy("kind", C.subtype(F.col("v"), F.col("kind")).alias("subtype")).agg(F.count("*").alias("n"))
+
+
+@query("forms_by_kind", f"""SELECT s_suppkey, kind, regexp_matches(a, '[0-9]') = regexp_matches(b, '[0-9]') AND (lower(a) LIKE 'the %') = (lower(b) LIKE 'the %') AND CASE kind WHEN 'PERSON' THEN contains(a, '.') = contains(b, '.') WHEN 'ORG' THEN contains(a, ',') = contains(b, ',') WHEN 'LOCATION' THEN contains(a, ',') = contains(b, ',')
+WHEN 'PRODUCT' THEN {_STYLE.format(v="a")} = {_STYLE.format(v="b")} WHEN 'PROJECT_NAME' THEN {_STYLE.format(v="a")} = {_STYLE.format(v="b")} ELSE true END AS compatible
+FROM (SELECT s_suppkey, s_name AS a, CASE s_suppkey % 5 WHEN 0 THEN upper(s_name) WHEN 1 THEN lower(s_name) || '.' WHEN 2 THEN 'the ' || s_name WHEN 3 THEN 'Some, other' ELSE 'Some Name 7' END AS b FROM supplier), {_KINDS}""")
+def forms_by_kind(t):
+    k = F.col("s_suppkey") % 5
+    b = F.when(k == 0, F.upper("s_name")).when(k == 1, F.concat(F.lower("s_name"), F.lit("."))).when(k == 2, F.concat(F.lit("the "), F.col("s_name"))).when(k == 3, "Some, other").otherwise("Some Name 7")
+    rows = t("supplier").select("s_suppkey", F.col("s_name").alias("a"), b.alias("b"), F.explode(F.array(*(F.lit(x) for x in [*C.SUBTYPES, "MONEY"]))).alias("kind"))
+    return rows.select("s_suppkey", "kind", C.compatible(F.col("a"), F.col("b"), F.col("kind")).alias("compatible"))
+
+
 @query("claim_pair_faults", """WITH c AS (SELECT item_id, text AS a, regexp_extract(text, '[A-Za-z]{4,}') AS o, CASE WHEN item_id % 3 = 0 THEN regexp_extract(text, '[A-Za-z]{4,}') ELSE 'Replacement' END AS r FROM benchmark), p AS (SELECT *, replace(a, o, r) || CASE WHEN item_id % 5 = 0 THEN ' More.' ELSE '' END AS b FROM c WHERE o <> '')
 SELECT item_id, array_to_string(list_filter([CASE WHEN lower(o) = lower(r) THEN 'same_value' END, CASE WHEN (length(a) - length(replace(a, o, ''))) / length(o) <> 1 THEN 'original_not_once' END, CASE WHEN (length(b) - length(replace(b, r, ''))) / length(r) <> 1 THEN 'other_not_once' END,
 CASE WHEN replace(a, o, '{ENTITY}') <> replace(b, r, '{ENTITY}') THEN 'differs_elsewhere' END, CASE WHEN greatest(length(a), length(b)) > 400 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS faults FROM p""")
