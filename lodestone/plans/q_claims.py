@@ -7,7 +7,7 @@ from lodestone.functions import claims as C
 from lodestone.functions import text as X
 from lodestone.operators import retrieval
 from lodestone.plans.q_ranking import BM25, asked
-from lodestone.plans.q_text import WORDS
+from lodestone.plans.q_text import TERMS, WORDS
 from lodestone.plans.queryset import QuerySet
 
 query = QuerySet()
@@ -24,10 +24,20 @@ def naturalness(t):
     return t("conversations").select("conv_id", "turn", C.naturalness(F.col("text")).alias("naturalness"))
 
 
-@query("question_gate", f"SELECT conv_id, turn, {REASON} AS reason, bool_or({REASON} IS NOT NULL) OVER (PARTITION BY conv_id) AS pair_rejected FROM conversations")
+_GRAM = "list_transform(range(1, len({x}) - 3), lambda i: array_to_string({x}[i:i + 4], ' '))"
+_COPIED = f"CASE WHEN p IS NULL OR len(k) < 5 THEN 0.0 ELSE len(list_filter({_GRAM.format(x='k')}, lambda g: list_contains({_GRAM.format(x='p')}, g))) / (len(k) - 4) END"
+_RUN = "CASE WHEN p IS NULL THEN 0 ELSE coalesce(list_max(list_transform(string_split(array_to_string(list_transform(k, lambda x: CASE WHEN list_contains(p, x) THEN '1' ELSE '0' END), ''), '0'), lambda x: length(x))), 0) END"
+_K = TERMS.format(t="text")
+REFUSED = f"SELECT conv_id, turn, CASE WHEN reason IS NOT NULL THEN reason WHEN {_COPIED} > 0.6 THEN 'copied_ngrams' WHEN {_RUN} > 12 THEN 'copied_run' END AS reason FROM (SELECT conv_id, turn, {REASON} AS reason, {_K} AS k, lag({_K}) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)"
+
+
+@query("question_gate", f"SELECT *, bool_or(reason IS NOT NULL) OVER (PARTITION BY conv_id) AS pair_rejected FROM ({REFUSED})")
 def question_gate(t):
-    """The first reason counts; one refused question refuses its conversation."""
-    rows = t("conversations").withColumn("reason", C.gate(F.col("text"), F.lit(0.0), F.lit(0)))
+    """The first reason counts; one refused question refuses its conversation. Copying is judged against the turn before."""
+    rows = t("conversations").withColumn("k", X.index_terms(F.col("text"))).withColumn("p", F.lag("k").over(Window.partitionBy("conv_id").orderBy("turn")))
+    told = F.col("p").isNotNull()
+    copied, run = F.when(told, X.containment(F.col("k"), F.col("p"), 5)).otherwise(0.0), F.when(told, X.copied_run(F.col("p"), F.col("k"))).otherwise(0)
+    rows = rows.withColumn("reason", C.gate(F.col("text"), copied, run))
     return rows.select("conv_id", "turn", "reason", F.bool_or(F.col("reason").isNotNull()).over(Window.partitionBy("conv_id")).alias("pair_rejected"))
 
 
