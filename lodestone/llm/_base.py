@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into words at once.
 CHUNK_BYTES = 2 << 20
+#: Rows of text that go to a Python worker at once, where the session leaves Spark's default: buffers of that many whole texts
+#: are held by the JVM and by the worker.
+BATCH_ROWS = 4000
 #: Words whose hash a worker remembers; the memory is emptied when it is full.
 MEMO_WORDS = 400_000
 
@@ -25,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of this machine only where none is configured."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that its executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -35,6 +41,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -44,9 +52,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
+        """Removes tables. Shuffle files of the plans that wrote them go when the driver collects its garbage, which it is
+        asked to do."""
         for name in names:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()  # of objects that stand for plans
+        self.spark._jvm.System.gc()
 
 
 def text_chunks(batches, max_bytes: int = CHUNK_BYTES):

@@ -3,9 +3,10 @@
 A document's set is its distinct shingles (tokens). Documents with the same set form a class; one text of each class
 takes part in the join.
 
-1. Classes of tokens. A count sketch over all documents gives each token a level: how often it occurs at most. Levels up to
-   `RARE` are rare tokens, the others frequent ones. The tokens of a set are ordered by level, then hash. Any order that
-   all sets share is sound for prefixes, so that an over-full sketch costs time only.
+1. Classes of tokens. A count sketch over all documents gives each token a level: the doublings of how often it occurs at
+   most. Tokens of at most `RARE` occurrences are rare, the others frequent. The tokens of a set are ordered by level, then
+   hash. Any order that all sets share is sound for prefixes, and rare tokens have small buckets at any size of the corpus;
+   an over-full sketch makes more tokens frequent and so more combinations.
 2. Prefixes. Two sets that are similar enough share k tokens among the first |x| - ceil(t |x|) + k tokens of each. Prefixes
    are extended to k = 1 + |x| / 32, the lesser k of two sets counting. Rare tokens of a prefix are indexed singly, and
    pairs that share fewer than k of them aren't candidates by them.
@@ -14,11 +15,19 @@ takes part in the join.
    differ in, so that one part is equal in both, and each part's tokens make one combination. A pair that shares only
    frequent tokens in its prefixes has such an extended prefix on both sides and shares a combination.
 4. Verify. First each set meets the least set of the bucket that it most often shares, which joins groups of copies as
-   stars, not as all their pairs. Then pairs of a bucket whose sets are in different components yet are compared. Each
-   comparison is of whole sets.
-5. Components by alternating large-star and small-star steps.
-6. Links, where they are asked for: the candidate pairs within a component of stars are compared as well, so that all links
-   of a set are counted.
+   stars, not as all their pairs. Then pairs of a bucket whose sets are in different components yet are compared, where the
+   bucket has at most `CROWD` such pairs for each of its sets.
+5. Crowds. The sets of a larger bucket are compared with one common set p. Any set will do; best is that of fewest rare
+   tokens, which has the fewest edits of its own, so that each bucket proposes it, and the proposal that its sets usually
+   meet in all their buckets is taken. Of x only its difference from p is kept: what it has and p lacks, from rare to frequent,
+   then what it lacks, from frequent to rare. x and y link if these differences differ in at most K tokens. If they share
+   none, both are so near to p that both link with p itself, which is tested. Else their first shared token has places in
+   the two differences that add up to K at most, so that one of them is at K / 2 at most: those places are indexed, places
+   up to K look them up. The own edits of near copies come first, so that copies of one text that differ by too much don't
+   meet, and those that link with p have its component.
+6. Components by alternating large-star and small-star steps.
+7. Links, where they are asked for: the candidate pairs within a component of stars are compared as well, so that all links
+   of a set are counted. These pairs grow with the square of a group of near copies.
 
 Cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer words than a shingle: the
 whole sequence is the one token; rows that repeat a doc_id give a row each; a null doc_id gets a row and is linked with
@@ -37,9 +46,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._base import BitFilter, Scratch, batch, hashed_words, mix, rolling, signed, text_chunks
 
-#: Counters of the sketch, slices in which it is added up, and the highest level of rare tokens: a level is a doubling of
-#: the count over what chance puts on a counter.
-COUNTERS, SLICES, RARE = 1 << 21, 32, 2
+#: Counters of the sketch, slices in which it is added up, and the most occurrences of a rare token.
+COUNTERS, SLICES, RARE = 1 << 21, 32, 256
+#: Pairs of different components in a bucket, for each set in it, beyond which it is a crowd.
+CROWD = 16
 #: What a shared combination counts for: more than any number of shared tokens.
 COMBINED = 1_000_000
 
@@ -80,13 +90,18 @@ def extension(n: int) -> int:
     return 1 + n // 32
 
 
+def is_rare(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return levels[(own & np.uint64(len(levels) - 1)).astype(np.int64)] <= RARE.bit_length() - 1
+
+
 def signatures(own: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(rare tokens of the set's extended prefix, its combinations if that prefix holds frequent tokens)."""
     n = len(own)
     prefix = n - needed(n, percent) + extension(n)
     level = levels[(own & np.uint64(len(levels) - 1)).astype(np.int64)]
-    rare = own[level <= RARE]
-    singles = mix(rare[np.argsort(level[level <= RARE], kind="stable")[:prefix]])
+    few = is_rare(own, levels)
+    rare = own[few]
+    singles = mix(rare[np.argsort(level[few], kind="stable")[:prefix]])
     if len(rare) >= prefix:
         return singles, singles[:0]
     found = []
@@ -99,6 +114,20 @@ def signatures(own: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.nd
     return singles, np.concatenate(found)
 
 
+def differing(n: int, m: int, percent: int) -> int:
+    """Tokens in which similar sets of n and m tokens differ at most."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
+def difference(own: np.ndarray, other: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The tokens of only one of two sorted sets: of the first from rare to frequent, then of the other from frequent to rare."""
+    parts = []
+    for tokens, sign in ((np.setdiff1d(own, other, assume_unique=True), 1), (np.setdiff1d(other, own, assume_unique=True), -1)):
+        level = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.int64)
+        parts.append(tokens[np.argsort(sign * level, kind="stable")])
+    return np.concatenate(parts)
+
+
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
@@ -136,9 +165,7 @@ def _sets_and_sketch(docs: DataFrame, size: int, scratch: Scratch) -> tuple[Data
     width = COUNTERS // SLICES
     for k, x in both.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():  # COUNTERS numbers
         total[k * width : (k + 1) * width] = np.frombuffer(x, np.int64)
-    mean = total.mean()
-    chance = mean + 6 * np.sqrt(mean) + 4
-    levels = np.ceil(np.log2(np.maximum(total, 1) / chance)).clip(0, 100).astype(np.uint8)
+    levels = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
     return both.where("slice IS NULL").select("doc_id", "n", "cls"), levels
 
 
@@ -194,6 +221,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, links:
         def several(sig, cls):
             if not len(sig):
                 return None
+            order = np.lexsort((cls, sig))
+            sig, cls = sig[order], cls[order]
+            once = np.append(True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1]))  # equal texts give equal rows
+            sig, cls = sig[once], cls[once]
             starts = np.flatnonzero(np.diff(sig, prepend=~sig[0]))
             n = np.diff(starts, append=len(sig))
             least, most = np.minimum.reduceat(cls, starts), np.maximum.reduceat(cls, starts)
@@ -215,8 +246,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, links:
     # combinations can be as frequent as there are copies: combined before the shuffle, and joined, where skew is split
     combined = index.where("combined").select("sig", "cls")
     lows = combined.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("sig", "lo")
-    weighed = singles.withColumn("weight", F.lit(1)).unionByName(combined.join(lows, "sig").withColumn("weight", F.lit(COMBINED)))
-    buckets = scratch.save(weighed.distinct(), "buckets")
+    weighed = singles.withColumn("weight", F.lit(1)).unionByName(combined.join(lows, "sig").distinct().withColumn("weight", F.lit(COMBINED)))
+    buckets = scratch.save(weighed, "buckets")
     scratch.drop("index")
 
     def alike(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -225,32 +256,43 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, links:
         least = F.least(f"n_{a}", f"n_{b}")
         return pairs.join(x, a).join(y, b).where((F.greatest(f"n_{a}", f"n_{b}") * percent <= 100 * least) & (F.col("shared") >= 1 + F.expr(f"least(n_{a}, n_{b}) div 32")))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (x, y) of classes those that link. The texts of the least documents of these classes are read again."""
-        pairs = scratch.save(pairs.select("x", "y"), f"{name}-pairs")
-        nodes = scratch.save(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes, "cls").select("cls", "node", F.xxhash64("node").alias("k")), f"{name}-nodes")
+    def tokens_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(cls, tokens, rare: how many of them are) of classes: the texts of their least documents are read again."""
+        nodes = scratch.save(wanted.distinct().join(classes, "cls").select("cls", "node", F.xxhash64("node").alias("k")), f"{name}-nodes")
         keep = spark.sparkContext.broadcast(BitFilter.build(nodes, "k", nodes.count()))
 
         def again(batches):
-            schema = pa.schema([("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+            schema = pa.schema([("cls", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64())), ("rare", pa.int64())])
             for part in batches:
                 keys = np.array([xxhash.xxh64_intdigest(struct.pack("<q", d), 42) for d in part.column("doc_id").to_pylist()], np.uint64)
                 for rows, texts in text_chunks([part.filter(pa.array(keep.value.hits(keys)))]):
                     own = token_sets(texts, size)
                     cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64)
-                    yield batch(schema, [signed(cls), list(map(signed, own))])
-
-        own = scratch.save(_input(docs).where("doc_id IS NOT NULL").mapInArrow(again, "cls long, tokens array<long>"), f"{name}-tokens")
+                    rare = [int(is_rare(x, held.value).sum()) for x in own]
+                    yield batch(schema, [signed(cls), rows.column("doc_id").to_pylist(), list(map(signed, own)), rare])
+
+        read = _input(docs).where("doc_id IS NOT NULL").mapInArrow(again, "cls long, doc_id long, tokens array<long>, rare long")
+        own = scratch.save(read.select("cls", "doc_id", "tokens", "rare"), f"{name}-tokens")
+        # the filter lets a few others pass, among them copies; without these a class has one row, unless a row is repeated
+        other = scratch.save(own.select("cls", "doc_id").join(nodes.select("cls", "node"), "cls", "left").where("NOT doc_id <=> node").select("cls", "doc_id").distinct(), f"{name}-other")
+        own = own.join(other, ["cls", "doc_id"], "left_anti").drop("doc_id")
+        if not own.groupBy("cls").count().where("count > 1").isEmpty():
+            own = scratch.save(own.dropDuplicates(["cls"]), f"{name}-once")
+        scratch.drop(f"{name}-nodes")
+        return own
+
+    def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        """Of pairs (x, y) of classes those that link, by their tokens."""
         left, right = (own.select(F.col("cls").alias(c), F.col("tokens").alias(f"t_{c}")) for c in ("x", "y"))
         both = F.size(F.array_intersect("t_x", "t_y"))
-        found = pairs.join(left, "x").join(right, "y").where(100 * both >= percent * (F.size("t_x") + F.size("t_y") - both)).select("x", "y").distinct()
-        found = scratch.save(found, name)
-        scratch.drop(f"{name}-pairs", f"{name}-nodes", f"{name}-tokens")
-        return found
+        met = pairs.select("x", "y").join(left, "x").join(right, "y")
+        return met.where(100 * both >= percent * (F.size("t_x") + F.size("t_y") - both)).select("x", "y")
 
     star = alike(buckets.where("cls <> lo").groupBy("cls", "lo").agg(F.sum("weight").alias("shared")), "cls", "lo")
-    best = star.groupBy("cls").agg(F.max_by("lo", F.struct("shared", "lo")).alias("lo"))
-    first = verified(best.select(F.col("cls").alias("x"), F.col("lo").alias("y")), "first")
+    best = star.groupBy("cls").agg(F.max_by("lo", F.struct("shared", "lo")).alias("best"))
+    starred = scratch.save(best.select(F.col("cls").alias("x"), F.col("best").alias("y")), "starred")
+    first = scratch.save(verified(starred, tokens_of(starred.select(F.explode(F.array("x", "y")).alias("cls")), "first")), "first")
+    scratch.drop("starred", "first-tokens", "first-other", "first-once")
     named = classes.select("cls", "node")
 
     def edges(links: DataFrame) -> DataFrame:
@@ -258,31 +300,93 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, links:
         return links.join(x, "x").join(y, "y").select("a", "b")
 
     known = scratch.save(components(edges(first), scratch, "star").join(named, "node", "right").select("cls", F.coalesce("component", "node").alias("component")), "known")
-    in_star = buckets.select("sig", "cls", "weight").join(known, "cls")
-    mixed = in_star.groupBy("sig").agg(F.min("component").alias("m"), F.max("component").alias("k")).where("m <> k").select("sig")
-    rest = scratch.save(in_star.join(mixed, "sig").join(classes.select("cls", "n"), "cls"), "rest")
-    x, y = rest.select(F.col("cls").alias("x"), "sig", F.col("component").alias("c"), "n", "weight"), rest.select(F.col("cls").alias("y"), "sig", F.col("component").alias("d"), F.col("n").alias("m"))
+    in_star = buckets.select("sig", "cls", "weight").join(known.join(classes.select("cls", "n"), "cls"), "cls")
+    several = in_star.groupBy("sig").agg(F.min("component").alias("m"), F.max("component").alias("k"), F.count("*").alias("held")).where("m <> k").select("sig", "held")
+    # the common set of a crowd: the least of those that its sets met first
+    rest = scratch.save(in_star.join(several, "sig"), "rest")
+    of_component = rest.where(F.col("held") > CROWD).groupBy("sig", "component").agg(F.count("*").alias("c"))
+    many = of_component.groupBy("sig").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own")).where(F.col("c") * F.col("c") - F.col("own") > 2 * CROWD * F.col("c"))
+    many = many.select("sig")
+    few = rest.join(many, "sig", "left_anti")
+    x, y = few.select(F.col("cls").alias("x"), "sig", F.col("component").alias("c"), "n", "weight"), few.select(F.col("cls").alias("y"), "sig", F.col("component").alias("d"), F.col("n").alias("m"))
     across = x.join(y, "sig").where((F.col("c") < F.col("d")) & (F.greatest("n", "m") * percent <= 100 * F.least("n", "m")))
-    second = verified(alike(across.groupBy("x", "y").agg(F.sum("weight").alias("shared")), "x", "y"), "second")
-    final = scratch.save(components(edges(first.unionByName(second)), scratch, "all"), "final")
+    scratch.drop()
+    across = scratch.save(alike(across.groupBy("x", "y").agg(F.sum("weight").alias("shared")), "x", "y").select("x", "y"), "across")
+    crowded = rest.join(many, "sig").select("sig", "cls", "component", "n")
+    own = tokens_of(across.select(F.explode(F.array("x", "y")).alias("cls")).unionByName(crowded.select("cls")), "second")
+    crowded = crowded.join(own.select("cls", "rare"), "cls")
+    crowded = scratch.save(crowded, "crowded")
+
+    def usual(rows: DataFrame, key: str) -> DataFrame:
+        """The p that most rows of a key have."""
+        return rows.groupBy(key, "p").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "p")).alias("x")).select(key, F.col("x.p").alias("p"))
+
+    cleanest = crowded.groupBy("sig").agg(F.min(F.struct("rare", "cls", "component")).alias("p"))
+    usually = usual(crowded.select("sig", "cls").join(cleanest, "sig"), "cls")
+    common = usual(crowded.select("sig", "cls").join(usually, "cls"), "sig").select("sig", F.col("p.cls").alias("common"), F.col("p.component").alias("its"))
+    crowd = scratch.save(crowded.join(common, "sig").select("cls", "component", "n", "common", "its").distinct(), "crowd")
+    scratch.drop("crowded", "rest")
+
+    def differences(batches):
+        """Links with the common set, and the places of the first tokens of the differences."""
+        schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sig", pa.int64()), ("cls", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("size", pa.int32()), ("at", pa.int32())])
+        for part in batches:
+            links, sigs, of = [], [], []
+            for cls, component, common, its, own, other in zip(*(part.column(k) for k in ("cls", "component", "common", "its", "tokens", "others")), strict=True):
+                cls, component, common = cls.as_py(), component.as_py(), common.as_py()
+                own, other = (a.values.to_numpy().view(np.uint64) for a in (own, other))
+                tokens, n = difference(own, other, held.value), len(own)
+                if cls != common and len(tokens) <= differing(n, len(other), percent):
+                    links.append((cls, common))
+                    component = its.as_py()
+                first = tokens[: differing(n, 100 * n // percent, percent) + 1]
+                sigs.append(mix(first ^ mix(np.full(1, common & (1 << 64) - 1, np.uint64))))
+                of.append((cls, component, n, len(tokens)))
+            if links:
+                yield batch(schema, [*zip(*links, strict=True), *([None] * len(links) for _ in range(6))])
+            sizes = list(map(len, sigs))
+            if any(sizes):
+                none = pa.nulls(sum(sizes), pa.int64())
+                at = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+                yield batch(schema, [none, none, signed(np.concatenate(sigs)), *(np.repeat(np.array(x), sizes) for x in zip(*of, strict=True)), at])
+
+    other = own.select(F.col("cls").alias("common"), F.col("tokens").alias("others"))
+    parted = crowd.join(own.select("cls", "tokens"), "cls").join(other, "common").select("cls", "component", "common", "its", "tokens", "others")
+    parted = scratch.save(parted.mapInArrow(differences, "x long, y long, sig long, cls long, component long, n int, size int, at int"), "parted")
+    indexed = F.col("at") <= F.expr(f"(n + 100 * n div {percent}) * {100 - percent} div {100 + percent} div 2")
+    places = parted.where("sig IS NOT NULL").select("sig", "cls", "component", "n", "size", "at")
+    met = places.groupBy("sig").agg(F.min("component").alias("m"), F.max("component").alias("k"), F.max(indexed).alias("found")).where("m <> k AND found").select("sig")
+    places = scratch.save(places.join(met, "sig"), "places")
+    scratch.drop("crowd")
+    x = places.where(indexed).select("sig", F.col("cls").alias("x"), F.col("component").alias("c"), "n", F.col("size").alias("a"), F.col("at").alias("i"))
+    y = places.select("sig", F.col("cls").alias("y"), F.col("component").alias("d"), F.col("n").alias("m"), F.col("size").alias("b"), F.col("at").alias("j"))
+    # places, and what can be shared from there on: 2 |shared| >= a + b - K
+    most = F.expr(f"(n + m) * {100 - percent} div {100 + percent}")
+    close = (F.col("i") + F.col("j") <= most) & (2 * F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) >= F.col("a") + F.col("b") - most)
+    near = x.join(y, "sig").where((F.col("c") != F.col("d")) & (F.greatest("n", "m") * percent <= 100 * F.least("n", "m")) & close).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    second = verified(across.unionByName(near).distinct(), own).unionByName(parted.where("x IS NOT NULL").select("x", "y"))
+    second = scratch.save(second.distinct(), "second")
+    scratch.drop("across", "second-tokens", "second-other", "second-once", "parted", "places")
+    final = components(edges(first.unionByName(second)), scratch, "all")
     out = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id")]
     if not links:
         of_class = scratch.save(classes.join(final, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id")), "of_class")
-        scratch.drop("buckets", "first", "second", "known", "rest")
+        scratch.drop("buckets", "first", "second", "known", "classes")
         return sets.join(of_class, "cls", "left").select(*out)
-    # within a component of stars too; its stars' own links are among these
-    own = in_star.join(classes.select("cls", "n"), "cls")
-    x, y = own.select(F.col("cls").alias("x"), "sig", "component", "n", "weight"), own.select(F.col("cls").alias("y"), "sig", "component", F.col("n").alias("m"))
+    # within a component of stars too
+    x, y = in_star.select(F.col("cls").alias("x"), "sig", "component", "n", "weight"), in_star.select(F.col("cls").alias("y"), "sig", "component", F.col("n").alias("m"))
     inside = x.join(y, ["sig", "component"]).where((F.col("x") < F.col("y")) & (F.greatest("n", "m") * percent <= 100 * F.least("n", "m")))
-    third = verified(alike(inside.groupBy("x", "y").agg(F.sum("weight").alias("shared")), "x", "y"), "third")
-    degree = second.unionByName(third).select(F.explode(F.array("x", "y")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    inside = scratch.save(alike(inside.groupBy("x", "y").agg(F.sum("weight").alias("shared")), "x", "y").select("x", "y"), "inside")
+    third = scratch.save(verified(inside, tokens_of(inside.select(F.explode(F.array("x", "y")).alias("cls")), "third")), "third")
+    all_links = first.unionByName(second).unionByName(third).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    degree = all_links.select(F.explode(F.array("x", "y")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     of_class = scratch.save(
         classes.join(final, "node", "left").join(degree, "cls", "left")
         .select("cls", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "of_class"
     )
-    scratch.drop("buckets", "first", "second", "third", "known", "rest")
+    scratch.drop("buckets", "first", "second", "inside", "third-tokens", "third-other", "third-once", "third", "known", "classes")
     return sets.join(of_class, "cls", "left").select(*out, F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=False)

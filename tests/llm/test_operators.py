@@ -144,6 +144,56 @@ def test_ngram_join_counts_all_links(spark):
     assert {r.doc_id: r.n_links for r in ngram_join.jaccard_components(docs).collect()} == want
 
 
+def test_ngram_join_crowds(spark, monkeypatch):
+    """Near copies that link or just don't, of a text and of a variant of it, each bucket a crowd."""
+    monkeypatch.setattr(ngram_join, "CROWD", 1)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    variant = [*base[:60], *(f"v{k}" for k in range(12)), *base[72:]]
+    texts = []
+    for k in range(70):
+        words = list(base if k % 2 else variant)
+        for _ in range(rng.choice([0, 1, 2, 3, 3, 4, 5, 6])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(words[: rng.choice([120, 120, 118, 105])]))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _links(rows)
+    assert 3 < len({c for _, c in want.values()}) < 65
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, links=False).collect()} == want
+
+
+@pytest.mark.parametrize("n", [60, 200, 2000])
+def test_decontaminate_long_items(spark, n):
+    """Items of any length are found with a word in twenty changed, by themselves and inside of other text; halves are not."""
+    rng = random.Random(n)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for _ in range(3)]
+    other = lambda k: [f"o{rng.randrange(10**6)}" for _ in range(k)]
+    edited = list(items[1])
+    edited[n // 2] = "changed"
+    rows = [(1, items[0]), (2, other(30) + edited + other(40)), (3, items[2][: n // 2] + other(n)), (4, other(n))]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.start_word for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(1, 0): 0, (2, 1): 30}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_that_repeat_a_doc_id(spark, turned):
+    """Rows of one doc_id with other text are judged by their own text, in either order of the rows."""
+    rng = random.Random(5)
+    some = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    passage, a, b, c = some(60), some(40), some(60), some(30)
+    rows = [(1, f"{passage} {a}"), (2, f"{passage} {c}"), (2, b)][:: -1 if turned else 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.kept_text): r.n_removed for r in substring.substring_dedup(docs).collect()}
+    assert got == {(1, f"{passage} {a}"): 0, (2, c): 60, (2, b): 0}
+    spans = {(r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.spans(docs).collect()}
+    assert spans == {(1, 0, 60), (2, 0, 60)}
+    benchmark = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, benchmark).collect()} == {1, 2}
+
+
 def test_size_classes():
     for percent in (80, 85, 90):
         for n in range(1, 400):
