@@ -8,8 +8,8 @@ for the next ones of their list: mentions of a group then weigh next to nothing
 beside them keep their weight.
 
 Cases: null and empty texts have no features and get the model's base score; with no labels, or labels of one kind, every
-score is their mean (0 for none); a null doc_id isn't held out; rows that repeat a doc_id get a row each; an empty table
-gives no rows; other columns are ignored.
+score is their mean (0 for none); a null doc_id isn't held out; rows that repeat a doc_id get a row each, and one of
+them is fitted on, that of least text hash; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import MEMO_WORDS, batch, table, text_chunks
+from lodestone.llm._base import MEMO_WORDS, Scratch, batch, table, text_chunks
 from lodestone.llm.doc_stats import held_out, sample, training_labels
 
 SAMPLE, MOST, LEAST_Z, LEAST_SHARE = 20_000, 512, 5.0, 0.02
@@ -113,22 +113,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     share = float(ids["y"].mean()) if len(ids) else 0.0
     model = None
     if 0 < share < 1:
-        y_of = spark.sparkContext.broadcast(dict(zip(ids["doc_id"].tolist(), ids["y"].tolist(), strict=True)))
-        labelled = rows.where(F.col("doc_id").isNotNull())
-
-        def picked(batches):
-            for part in batches:
-                hit = [d in y_of.value for d in part.column("doc_id").to_pylist()]
-                if any(hit):
-                    yield from text_chunks([part.filter(pa.array(hit))])
+        # the sampled rows are read once; of rows that repeat a doc_id one is fitted on, that of least text hash
+        scratch = Scratch(spark, "toxicity")
+        one = F.min_by("text", F.xxhash64("text")).alias("text")
+        labelled = scratch.save(rows.join(F.broadcast(spark.createDataFrame(ids, "doc_id long, y int")), "doc_id").groupBy("doc_id", "y").agg(one), "labelled")
 
         def count(batches):
             schema = pa.schema([("h", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())])
             of_word: dict[bytes, list[int]] = {}
-            for part, texts in picked(batches):
+            for part, texts in text_chunks(batches):
                 found: list[np.ndarray] = []
                 kind: list[np.ndarray] = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                for y, text in zip(part.column("y").to_pylist(), texts, strict=True):
                     own: set[int] = set()
                     for w in set(text.split()):
                         if w not in of_word:
@@ -137,7 +133,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
                             of_word[w] = features(bare(w))
                         own.update(of_word[w])
                     found.append(np.fromiter(own, np.uint64, len(own)))
-                    kind.append(np.full(len(own), y_of.value[doc_id]))
+                    kind.append(np.full(len(own), y))
                 h, back = np.unique(np.concatenate(found), return_inverse=True)
                 toxic = np.bincount(back, weights=np.concatenate(kind), minlength=len(h)).astype(np.int64)
                 yield batch(schema, [h.view(np.int64), toxic, np.bincount(back, minlength=len(h)) - toxic])
@@ -153,13 +149,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
         places = spark.sparkContext.broadcast({h & (1 << 64) - 1: k for k, h in enumerate(best["h"].tolist())})
 
         def lists(batches):
-            schema = pa.schema([("y", pa.int32()), *((c, pa.list_(t)) for c, t in (("own", pa.int32()), ("values", pa.float64()), ("swapped", pa.int32()), ("new_values", pa.float64())))])
+            schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), *((c, pa.list_(t)) for c, t in (("own", pa.int32()), ("values", pa.float64()), ("swapped", pa.int32()), ("new_values", pa.float64())))])
             chosen = Selected(places.value)
-            for part, texts in picked(batches):
+            for part, texts in text_chunks(batches):
                 own, swapped = ([chosen.of(t, swap) for t in texts] for swap in (False, True))
-                yield batch(schema, [[y_of.value[d] for d in part.column("doc_id").to_pylist()], *zip(*own, strict=True), *zip(*swapped, strict=True)])
+                yield batch(schema, [part.column("doc_id"), part.column("y"), *zip(*own, strict=True), *zip(*swapped, strict=True)])
 
-        known = labelled.mapInArrow(lists, "y int, own array<int>, values array<double>, swapped array<int>, new_values array<double>").toPandas()
+        read = labelled.mapInArrow(lists, "doc_id long, y int, own array<int>, values array<double>, swapped array<int>, new_values array<double>")
+        known = read.toPandas().sort_values("doc_id")  # SAMPLE rows at most
+        scratch.drop("labelled")
         own, swapped = (list(zip(known[a], known[b], strict=True)) for a, b in (("own", "values"), ("swapped", "new_values")))
         model = (places.value, *fit(own, swapped, known["y"].to_numpy(float), len(best)))
     fitted = spark.sparkContext.broadcast(model)
