@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -34,9 +34,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     width = size // bands
     rows = docs.select(F.col(key).alias("id"), X.flat(F.col(text)).alias("flat")).select("id", F.sha2("flat", 256).alias("h"), X.index_terms(F.col("flat")).alias("k"))
     rows = rows.select("id", "h", X.shingles(F.col("k")).alias("s"))
-    # copies in this sense pair with the first of their class
-    equal = rows.select("id", "h", F.min("id").over(Window.partitionBy("h")).alias("rep")).where("id <> rep").select(F.col("rep").alias("left"), F.col("id").alias("right"), F.lit("exact_normalized_hash").alias("method"), F.lit(1.0).alias("jaccard"))
     reps = rows.groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s"))
+    # copies in this sense pair with the first of their class; a join can be split where a class is large, a window can't
+    lead = reps.select("h", F.col("id").alias("left"))
+    equal = rows.select("h", F.col("id").alias("right")).join(lead, "h").where("left <> right").select("left", "right", F.lit("exact_normalized_hash").alias("method"), F.lit(1.0).alias("jaccard"))
     sketch = bottom_sketch(reps, "s", "k", size).select("id", "k")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("k", b * width + 1, width)))).alias("band", "bucket")
     buckets = sketch.select("id", band)
@@ -47,16 +48,29 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     return equal.unionByName(similar.select("left", "right", F.lit("minhash_candidate_jaccard").alias("method"), F.round("jaccard", 8).alias("jaccard")))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the executors share; one of this machine only on a local master without that setting."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that its executors share")
+        found = tempfile.mkdtemp(prefix="lodestone-")
+    return found.rstrip("/")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least reachable node) of edges (left, right), by least labels over rounds of written tables."""
     spark = edges.sparkSession
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-")).rstrip("/")
-    root = f"{root}/components-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
+    def drop(name: str) -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
     both = save(edges.select(F.col("left").alias("a"), F.col("right").alias("b")).union(edges.select("right", "left")).distinct(), "edges")
     labels, k, total = save(both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("c")), "0"), 0, None
     while True:
@@ -66,8 +80,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("a").alias("c"), F.col("c").alias("up"))
         k += 1
         labels = save(step.join(jump, "c", "left").select("a", F.coalesce("up", "c").alias("c")), str(k))
+        drop(str(k - 1))
         now = labels.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
         if now == total:
+            drop("edges")
             return labels.select(F.col("a").alias("node"), F.col("c").alias("component"))
         total = now
 
