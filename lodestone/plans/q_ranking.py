@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators import dedup, retrieval
+from lodestone.operators import dedup, retrieval, selection
 from lodestone.plans.q_text import SHINGLES, TERMS
 from lodestone.plans.queryset import QuerySet
 
@@ -173,9 +173,11 @@ def representative_chunk(t):
 
 @query("score_strata", "SELECT doc_id, CAST((p - 1) * 4 // n AS INT) AS stratum FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS p, count(*) OVER (PARTITION BY lang) AS n FROM documents)")
 def score_strata(t):
-    """Integer bounds: ntile would place remainders otherwise."""
-    rows = t("documents").select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id")).alias("p"), F.count("*").over(Window.partitionBy("lang")).alias("n"))
-    return rows.select("doc_id", F.expr("CAST((p - 1) * 4 div n AS INT)").alias("stratum"))
+    """Integer bounds: ntile would place remainders otherwise. No task sorts a language."""
+    rows = t("documents").select("doc_id", "lang", "n_chars", F.expr("doc_id div 1000000").alias("million"))
+    placed = selection.places(rows, "lang", ["n_chars", "million"], ["doc_id"])
+    n = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    return placed.join(n, F.col("lang").eqNullSafe(F.col("of"))).select("doc_id", F.expr("CAST((place - 1) * 4 div n AS INT)").alias("stratum"))
 
 
 @query(
@@ -183,8 +185,9 @@ def score_strata(t):
     f"SELECT source, doc_id, block, rnd, (block + rnd) % 4 AS cell, row_number() OVER (PARTITION BY source ORDER BY block, rnd) AS ordinal FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {RANK}) - 1 AS block FROM documents), (SELECT unnest([0, 1, 2, 3]) AS rnd)",
 )
 def latin_schedule(t):
-    """Blocks in hash order; the cells of a block are rotated by its number."""
-    rows = t("documents").select("source", "doc_id", (F.row_number().over(Window.partitionBy("source").orderBy(rank_of())) - 1).alias("block")).withColumn("rnd", F.explode(F.array(*map(F.lit, range(4)))))
+    """Blocks in hash order; the cells of a block are rotated by its number. No task sorts a source."""
+    rows = t("documents").select("source", "doc_id", rank_of().alias("h")).withColumn("head", F.substring("h", 1, 3))
+    rows = selection.places(rows, "source", ["head"], ["h"]).withColumn("block", F.col("place") - 1).withColumn("rnd", F.explode(F.array(*map(F.lit, range(4)))))
     return rows.select("source", "doc_id", "block", "rnd", F.pmod(F.col("block") + F.col("rnd"), F.lit(4)).alias("cell"), (F.col("block") * 4 + F.col("rnd") + 1).alias("ordinal"))
 
 

@@ -112,8 +112,11 @@ def interval_overlap(t):
 
 @query("best_covering_interval", "SELECT e.event_id, max(o.k) AS covering FROM (SELECT event_id, user_id, value FROM events) e JOIN (SELECT o_custkey, o_orderkey AS k, o_totalprice FROM orders) o ON e.user_id = o.o_custkey AND e.value <= o.o_totalprice GROUP BY e.event_id")
 def best_covering_interval(t):
-    e, o = t("events"), t("orders")
-    return e.join(o, (e.user_id == o.o_custkey) & (e.value <= o.o_totalprice)).groupBy("event_id").agg(F.max("o_orderkey").alias("covering"))
+    """The best of all intervals that reach a value is a running maximum from the highest end down: rows of a user, not pairs."""
+    ends = t("orders").select(F.col("o_custkey").alias("user"), F.col("o_totalprice").alias("at"), F.col("o_orderkey").alias("k"), F.lit(None).cast("long").alias("event_id"))
+    both = ends.unionByName(t("events").select(F.col("user_id").alias("user"), F.col("value").alias("at"), F.lit(None).cast("long").alias("k"), "event_id"))
+    above = Window.partitionBy("user").orderBy(F.desc("at"), F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("covering", F.max("k").over(above)).where("event_id IS NOT NULL AND covering IS NOT NULL AND user IS NOT NULL AND at IS NOT NULL").select("event_id", "covering")
 
 
 @query("parameter_grid", "SELECT a / 10.0 AS threshold, b AS least_votes FROM range(1, 10) x(a), range(1, 4) y(b)")
