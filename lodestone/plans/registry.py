@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES: list[str] = ["plans.q_text", "plans.q_relational", "plans.q_ranking", "plans.q_evaluation", "plans.q_udf", "plans.q_claims", "plans.q_selection"]
+MODULES: list[str] = ["plans.q_text", "plans.q_relational", "plans.q_ranking", "plans.q_evaluation", "plans.q_udf", "plans.q_claims", "plans.q_selection", "plans.q_answers"]
 
 
 def _gather(what: str) -> dict:
