@@ -178,6 +178,34 @@ def bootstrap_auc(rows: DataFrame, score: str, positive: Column, draws: int = 20
     return tries.agg(F.round(F.percentile("auc", F.lit(0.025)), 6).alias("lower"), F.round(F.percentile("auc", F.lit(0.975)), 6).alias("upper"), F.count("*").alias("draws"))
 
 
+def bootstrap_conformal(rows: DataFrame, score: str, reserve: Column, positive: Column, alpha: float = 0.05, draws: int = 2000, seed: int = 42, most: int = 200_000) -> DataFrame:
+    """One row: shares of positives and negatives accepted at level alpha against the reserve, and 2.5 % and 97.5 % percentiles
+    of both. The reserve is drawn anew as well, so that the threshold's own error counts. Works on counts as bootstrap_auc."""
+    group = F.when(reserve, 0).when(positive, 1).otherwise(2).alias("g")
+    counts = rows.groupBy(F.col(score).cast("double").alias("s"), group).agg(F.count("*").alias("c")).orderBy("s", "g").limit(most + 1).toPandas()
+    if len(counts) > most:
+        raise ValueError("bin the scores first")
+    table = counts.pivot_table(index="s", columns="g", values="c", fill_value=0).reindex(columns=range(3), fill_value=0).to_numpy().astype(np.int64).T
+    if not table.sum(axis=1).all():
+        raise ValueError("all three groups must occur")
+
+    def rates(r, p, n):
+        accepted = 1 + np.cumsum(r[::-1])[::-1] <= alpha * (1 + r.sum())
+        return float((p * accepted).sum() / p.sum()), float((n * accepted).sum() / n.sum())
+
+    def draw(batches):
+        for ids in batches:
+            out = []
+            for k in ids["id"]:
+                rng = np.random.Generator(np.random.PCG64([seed, int(k)]))
+                out.append(rates(*(rng.multinomial(c.sum(), c / c.sum()) for c in table)))
+            yield pd.DataFrame(out, columns=["tpr", "fpr"])
+
+    tpr, fpr = rates(*table)
+    ends = [F.round(F.percentile(n, F.lit(q)), 6).alias(f"{n}_{end}") for n in ("tpr", "fpr") for end, q in (("lower", 0.025), ("upper", 0.975))]
+    return rows.sparkSession.range(0, draws, 1, 8).mapInPandas(draw, "tpr double, fpr double").agg(F.lit(round(tpr, 6)).alias("tpr"), F.lit(round(fpr, 6)).alias("fpr"), *ends)
+
+
 def _weighted_auc(score: np.ndarray, p: np.ndarray, n: np.ndarray) -> float:
     """Of positives p and negatives n at each score; ties count half."""
     order = np.argsort(score, kind="stable")

@@ -145,6 +145,13 @@ def bootstrap_auc_ci(t):
     return metrics.bootstrap_auc(scores(t), "score", _y(), draws=2000)
 
 
+@query("bootstrap_conformal_ci")
+def bootstrap_conformal_ci(t):
+    """Documents with an odd id and no quality are the reserve."""
+    s = scores(t)
+    return metrics.bootstrap_conformal(s, "score", ~F.col("y") & (F.col("doc_id") % 2 == 1), F.col("y"), alpha=0.2)
+
+
 @query("paired_bootstrap_delta")
 def paired_bootstrap_delta(t):
     rows = t("labels").join(t("documents"), "doc_id").select((F.col("quality") == 1).alias("y"), F.col("n_chars").alias("a"), (F.col("n_chars") % 97).alias("b"))

@@ -157,3 +157,31 @@ def test_near_pairs_hold_all_copies_and_only_similar_texts(spark):
         first.setdefault(flat[d], d)
     exact = got[got["method"] == "exact_normalized_hash"]
     assert set(zip(exact["left"], exact["right"])) == {(first[t], d) for d, t in flat.items() if first[t] != d}
+
+
+def test_conformal_interval_holds_the_plain_rates(spark):
+    from lodestone.operators import metrics
+
+    rng = random.Random(3)
+    rows = [(round(rng.gauss(1.5 if g == 1 else 0, 1), 1), g) for g in (0, 1, 2) for _ in range(150)]
+    made = spark.createDataFrame(rows, "s double, g int")
+    got = metrics.bootstrap_conformal(made, "s", F.col("g") == 0, F.col("g") == 1, 0.1, draws=400).first()
+    reserve = [s for s, g in rows if g == 0]
+    for g, name in ((1, "tpr"), (2, "fpr")):
+        own = [s for s, h in rows if h == g]
+        want = sum((1 + sum(r >= s for r in reserve)) / (1 + len(reserve)) <= 0.1 for s in own) / len(own)
+        assert abs(got[name] - want) < 1e-6 and got[f"{name}_lower"] <= want <= got[f"{name}_upper"] and got[f"{name}_lower"] < got[f"{name}_upper"]
+    with pytest.raises(ValueError):
+        metrics.bootstrap_conformal(made.where("g < 2"), "s", F.col("g") == 0, F.col("g") == 1)
+
+
+def test_strict_answers_guess_nothing(spark):
+    from lodestone.functions import answers
+
+    said = ['{"stance": "contradicted", "correction_entity": "X"}', '{"stance": "supported", "correction_entity": "X"}', "Inconsistent: a\nb ", "yes, it is", None, "{", "I do not know!"]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(said)], "k int, r string")
+    got = df.select("k", *(c.alias(n) for n, c in answers.strict_answer(F.col("r"), F.lit(False)).items())).orderBy("k").collect()
+    assert [(r.parse_status, r.stance, r.correction) for r in got] == [
+        ("parsed", "contradicted", "X"), ("invalid", None, None), ("parsed", "contradicted", "a\nb"), ("invalid", None, None), ("missing", None, None), ("invalid", None, None), ("parsed", "insufficient", None),
+    ]
+    assert [r[0] for r in df.select(answers.strict_answer(F.col("r"), F.lit(True))["parse_status"]).collect()] == ["generator_error"] * 7

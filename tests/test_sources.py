@@ -62,3 +62,31 @@ def test_compaction(spark):
 def test_rate(spark, tmp_path):
     df = spark.sql("SELECT TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 20) AS ts FROM range(9)")
     assert sorted((r.n) for r in incremental.rate(df, "ts").collect()) == [3, 3, 3]
+
+
+def test_folder_reads_json_by_item(spark, tmp_path):
+    long = "a sentence of more than forty characters in a field of no known name"
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "x", "text": "one"}, 5, {"other": long, "n": 7}, {"paragraphs": [{"context": "two"}, {"body": "three"}], "text": "outer"}]))
+    (tmp_path / "b.json").write_text("{not json")
+    (tmp_path / "c.json").write_text(json.dumps({"data": [{"body": "B", "text": " "}]}))
+    (tmp_path / "d.jsonl").write_text(json.dumps({"sample_id": 9, "whatever": long}) + "\n\n[1]\n")
+    rows = readers.read_folder(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in rows if r.text) == sorted(["one", long, "two", "three", "B", long])
+    assert sorted(r.source_path.rsplit("/", 1)[1] for r in rows if r.read_error) == ["b.json", "d.jsonl"]
+    assert {"x", "9"} <= {r.source_id for r in rows}
+    assert all(r.source_id for r in rows) and "outer" not in {r.text for r in rows}
+
+
+def test_text_fields_come_in_order(spark):
+    df = spark.createDataFrame([("b", "t", "c"), ("b", " ", "c"), (None, None, "c"), ("", "", "")], "body string, text string, content string")
+    assert [r[0] for r in df.select(readers.main_text(df)).collect()] == ["t", "b", "c", None]
+
+
+def test_articles(spark, tmp_path):
+    xml = '<article><front><article-id pub-id-type="doi">d</article-id><article-id pub-id-type="pmc"> pmc7 </article-id><abstract><p>First <b>part</b>.</p></abstract></front><body><sec>Second.</sec></body></article>'
+    broken = '<article><article-id pub-id-type="pmc">PMC8</article-id><body>open'
+    lines = [{"data": xml}, {"data": ["s", broken]}, {"text": "<a>none</a>"}, {"data": 5}, {"data": ""}]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    rows = readers.read_articles(spark, str(tmp_path)).collect()
+    assert {r.source_id: r.text for r in rows if r.source_id} == {"PMC7": "First part .\n\nSecond.", "PMC8": broken}
+    assert [r.read_error for r in rows if not r.source_id] == ["no PMC id"] * 3
