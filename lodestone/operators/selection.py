@@ -130,6 +130,34 @@ def proposals(predictions: DataFrame, existing: DataFrame, threshold: Column, vo
     return same.where(F.col("models") >= votes).join(existing.select(*at), at, "left_anti")
 
 
+def matched(candidates: DataFrame, targets: DataFrame, k: int, tolerance: float = 0.05, limit: int = 50_000) -> DataFrame:
+    """query, slot, chunk, tokens, within: for each slot of a query, from the largest, the candidate of the nearest size that is
+    left (of equals the least chunk); within says whether all of them together are as large as the slots, to a tolerance.
+
+    candidates: (chunk, source, tokens); targets: (query, slot, wanted, excluded), at most k slots a query, excluded the
+    sources that it may not draw from. The targets are a stated set of at most `limit` rows, held against all candidates. A slot
+    chooses among its k nearest, since the others take k - 1 of them at most. Queries that run out of candidates get none."""
+    if targets.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} slots; run them in blocks")
+    free = ~F.coalesce(F.array_contains("excluded", F.col("source")), F.lit(False))
+    near = candidates.join(F.broadcast(targets), free).select("query", "slot", "wanted", F.struct(F.abs(F.col("tokens") - F.col("wanted")).alias("gap"), "chunk", "tokens").alias("c"))
+    near = near.withColumn("p", F.row_number().over(Window.partitionBy("query", "slot").orderBy("c"))).where(F.col("p") <= k)
+    slots = near.groupBy("query", "slot", "wanted").agg(F.array_sort(F.collect_list("c")).alias("own"))
+    rows = slots.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("wanted")).alias("w"), "slot", "own"))).alias("slots"))
+    rows = rows.join(targets.groupBy(F.col("query").alias("of")).agg(F.count("*").alias("n")), F.col("query") == F.col("of")).where("size(slots) = n")
+    none = F.filter(F.transform("slots", lambda s: s["own"][0]), lambda c: F.lit(False))
+
+    def take(chosen, s):
+        return F.array_append(chosen, F.get(F.filter(s["own"], lambda c: ~F.exists(chosen, lambda x: x["chunk"] == c["chunk"])), F.lit(0)))
+
+    rows = rows.withColumn("x", F.aggregate("slots", none, take)).where(~F.exists("x", lambda c: c.isNull()))
+    total = lambda a, f: F.aggregate(F.transform(a, f), F.lit(0).cast("long"), lambda t, v: t + v.cast("long"))
+    wanted = -total("slots", lambda s: s["w"])
+    gap = F.abs(total("x", lambda c: c["tokens"]) - wanted) / F.greatest(F.lit(1), wanted)
+    pairs = F.inline(F.zip_with("slots", "x", lambda s, c: F.struct(s["slot"].alias("slot"), c["chunk"].alias("chunk"), c["tokens"].alias("tokens"))))
+    return rows.select("query", (gap <= tolerance).alias("within"), pairs)
+
+
 def label_free(rows: DataFrame, forbidden: tuple[str, ...] = FORBIDDEN) -> DataFrame:
     """The rows, if no column or field at any depth of their schema has a forbidden name in either case; else ValueError."""
 

@@ -190,6 +190,27 @@ def answered_questions(t):
     return told.withColumn("k", k).where("k <= 5").select("conv_id", "turn", "k")
 
 
+@query(
+    "pilot_metrics",
+    """WITH q AS (SELECT o_orderkey AS id, o_orderstatus AS grp FROM orders WHERE o_orderkey % 9 <> 0), r AS (SELECT l_orderkey AS id, l_returnflag <> 'R' AS valid, l_linestatus = 'F' AS parseable, l_suppkey % 2 = 0 AS useful, l_partkey % 3 = 0 AS hit FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 8 <> 0)
+    SELECT grp, count(DISTINCT q.id) AS expected, count(r.id) AS n_rows, count(r.id) - count(DISTINCT r.id) AS repeated, count(DISTINCT q.id) FILTER (WHERE r.id IS NULL) AS missing, round(count(*) FILTER (WHERE valid) / greatest(1, count(DISTINCT q.id)), 6) AS completeness, round(count(*) FILTER (WHERE valid AND parseable) / greatest(1, count(*) FILTER (WHERE valid)), 6) AS parse_rate,
+    round(count(*) FILTER (WHERE valid AND useful) / greatest(1, count(*) FILTER (WHERE valid)), 6) AS useful_rate, round(count(*) FILTER (WHERE valid AND hit) / greatest(1, count(*) FILTER (WHERE valid)), 6) AS recall_5, count(*) FILTER (WHERE valid AND parseable) / greatest(1, count(*) FILTER (WHERE valid)) >= 0.45 AS passed FROM q LEFT JOIN r USING (id) GROUP BY grp""",
+)
+def pilot_metrics(t):
+    """Responses against the questions that were planned, by group; the gate is on the share that can be parsed."""
+    q = t("orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("grp"))
+    made = {"valid": "l_returnflag <> 'R'", "parseable": "l_linestatus = 'F'", "useful": "l_suppkey % 2 = 0", "hit": "l_partkey % 3 = 0"}
+    r = t("lineitem").where("l_linenumber = 1 AND l_orderkey % 8 <> 0").select(F.col("l_orderkey").alias("id"), *(F.expr(e).alias(n) for n, e in made.items()))
+    # counts by question first, so that no distinct count is left
+    each = r.groupBy("id").agg(F.count("*").alias("rows"), *(F.count_if(F.col("valid") & F.col(n)).alias(n) for n in made))
+    by = q.distinct().join(each, "id", "left").groupBy("grp").agg(F.count("*").alias("expected"), F.count_if(F.col("rows").isNull()).alias("missing"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("rows", *made)))
+    share = lambda n, of="valid": F.col(n) / F.greatest(F.lit(1), F.col(of))
+    return by.select(
+        "grp", "expected", F.col("rows").alias("n_rows"), (F.col("rows") - F.col("expected") + F.col("missing")).alias("repeated"), "missing", F.round(share("valid", "expected"), 6).alias("completeness"),
+        F.round(share("parseable"), 6).alias("parse_rate"), F.round(share("useful"), 6).alias("useful_rate"), F.round(share("hit"), 6).alias("recall_5"), (share("parseable") >= 0.45).alias("passed"),
+    )
+
+
 # ---- dense retrieval
 
 @query(
@@ -203,6 +224,21 @@ def target_context(t):
     return retrieval.top(own.where("query <> doc"), 5)
 
 
+_PICK = "SELECT query, excluded, w1, w2, w3, {took}, d.doc_id AS c{i}, d.n_chars AS t{i} FROM ({x}) q JOIN documents d ON d.source <> q.excluded AND d.doc_id NOT IN ({used}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY abs(d.n_chars - q.w{i}), d.doc_id) = 1"
+_ONE = _PICK.format(i=1, took="1 AS one", used="-1", x="SELECT doc_id AS query, source AS excluded, n_chars + 90 AS w1, (n_chars + 14) // 2 AS w2, n_chars // 3 AS w3 FROM documents WHERE doc_id % 50 = 0")
+_TWO = _PICK.format(i=2, took="c1, t1", used="q.c1", x=_ONE)
+_THREE = _PICK.format(i=3, took="c1, t1, c2, t2", used="q.c1, q.c2", x=_TWO)
+
+
+@query("matched_context", f"SELECT query, unnest([1, 2, 3]) AS slot, unnest([c1, c2, c3]) AS chunk, unnest([t1, t2, t3]) AS tokens, abs(t1 + t2 + t3 - w1 - w2 - w3) / greatest(1, w1 + w2 + w3) <= 0.05 AS within FROM ({_THREE})")
+def matched_context(t):
+    """Three documents of other sources, as long as three given lengths."""
+    d = t("documents")
+    sizes = F.posexplode(F.array(F.col("n_chars") + 90, F.expr("(n_chars + 14) div 2"), F.expr("n_chars div 3"))).alias("slot", "wanted")
+    targets = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), F.array("source").alias("excluded"), sizes).withColumn("slot", F.col("slot") + 1)
+    return selection.matched(d.select(F.col("doc_id").alias("chunk"), "source", F.col("n_chars").alias("tokens")), targets, 3)
+
+
 _BINS = "SELECT {k} AS id, ('0x' || substr(sha256(term), 1, 2))::INT % 64 AS b, count(*) AS c FROM (SELECT {k}, unnest({x}) AS term FROM {t}) GROUP BY 1, 2"
 _UNIT = "SELECT id, b, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM ({x})"
 

@@ -74,6 +74,23 @@ def test_vectors_are_of_length_one(spark):
     assert [r["doc"] for r in got] == [1] and abs(sum(x * x for x in got[0]["v"]) - 1) < 1e-9
 
 
+def test_matches_are_the_greedy_ones(spark):
+    rng = random.Random(4)
+    chunks = [(k, rng.choice("abc"), rng.randint(1, 30)) for k in range(60)]
+    asks = [(q, s, rng.randint(1, 30), [rng.choice("abc")] if q else None) for q in range(20) for s in range(rng.randint(1, 4))] + [(50, s, 9, ["a", "b", "c"]) for s in range(2)]
+    got = {}
+    for r in selection.matched(spark.createDataFrame(chunks, "chunk int, source string, tokens int"), spark.createDataFrame(asks, "query int, slot int, wanted int, excluded array<string>"), 4).collect():
+        got.setdefault(r["query"], {})[r["slot"]] = (r["chunk"], r["within"])
+    want = {}
+    for q in range(20):
+        own, taken = sorted((a for a in asks if a[0] == q), key=lambda a: (-a[2], a[1])), []
+        for _, slot, size, banned in own:
+            taken.append(min((c for c in chunks if c[1] not in (banned or []) and c not in taken), key=lambda c: (abs(c[2] - size), c[0])))
+        total = sum(a[2] for a in own)
+        want[q] = {a[1]: (c[0], abs(sum(x[2] for x in taken) - total) / total <= 0.05) for a, c in zip(own, taken)}
+    assert got == want
+
+
 # ---- queries without SQL
 
 
