@@ -194,6 +194,27 @@ def test_rows_that_repeat_a_doc_id(spark, turned):
     assert {r.doc_id for r in decontaminate.contaminated(docs, benchmark).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize("shard", [2000, 1])
+def test_windows_of_rows_that_repeat_a_doc_id(spark, shard, monkeypatch):
+    """The order is that of doc_id and start alone: of equal starts in rows of one doc_id neither is the earlier."""
+    monkeypatch.setattr(substring, "SHARD", shard)
+    rng, rows, first = random.Random(8), [], {}
+    some = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passages = [some(40) for _ in range(4)]
+    for k in range(60):
+        rows.append((k % 7, [w for _ in range(3) for w in (some(rng.randrange(12)) + rng.choice(passages)[rng.randrange(9) :])] if k % 3 else passages[k % 4] + some(5)))
+    rows += rows[:10]
+    for doc_id, w in rows:
+        for i in range(len(w) - 19):
+            first[tuple(w[i : i + 20])] = min(first.get(tuple(w[i : i + 20]), (doc_id, i)), (doc_id, i))
+    want = []
+    for doc_id, w in rows:
+        gone = {j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (doc_id, i) for j in range(i, i + 20)}
+        want.append((doc_id, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    docs = spark.createDataFrame([(doc_id, " ".join(w)) for doc_id, w in rows], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substring.substring_dedup(docs).collect())) == sorted(want)
+
+
 def test_size_classes():
     for percent in (80, 85, 90):
         for n in range(1, 400):
