@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +20,28 @@ STATUS = {
 }
 
 
-def flags(response: Column, claim_type: Column, original: Column, counterfactual: Column) -> dict[str, Column]:
-    """The ten flags of a response to a claim, and its stance. A JSON object's status or verdict counts beside the phrases."""
+_WORD = "[0-9A-Za-z_]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+#: Letters beyond ASCII that are the same as an ASCII letter but for case.
+_FOLDED = {"s": "\u017f", "k": "\u212a"}
+
+
+def as_sql_reads(phrases: str) -> str:
+    """A pattern of phrases in the regular expressions of Java as those of DuckDB read it: a word ends where ASCII letters,
+    digits and underscores end, whatever letter follows, and each letter stands for all its cases."""
+    one = lambda m: _EDGE if m[0] == "\\b" else f"[{m[0].lower()}{m[0].upper()}{_FOLDED.get(m[0].lower(), '')}]"
+    return re.sub(r"\\b|[A-Za-z]", one, phrases.removeprefix("(?i)"))
+
+
+def flags(response: Column, claim_type: Column, original: Column, counterfactual: Column, objects: bool = True) -> dict[str, Column]:
+    """The ten flags of a response to a claim, and its stance. A JSON object's status or verdict counts beside the phrases,
+    unless objects are read as plain text."""
     response = F.coalesce(response, F.lit(""))
     status = F.nullif(F.lower(F.trim(F.coalesce(F.nullif(F.get_json_object(response, "$.status"), F.lit("")), F.get_json_object(response, "$.verdict")))), F.lit(""))
-    named = lambda k: F.coalesce(status.isin(STATUS[k]), F.lit(False))
-    unknown, refuses = response.rlike(UNKNOWN) | named("unknown"), response.rlike(REFUSAL) | named("refuses")
-    against, for_ = response.rlike(INCONSISTENT) | named("inconsistent"), response.rlike(CONSISTENT) | named("consistent")
+    named = lambda k: F.coalesce(status.isin(STATUS[k]), F.lit(False)) if objects else F.lit(False)
+    says = lambda phrases: response.rlike(as_sql_reads(phrases))
+    unknown, refuses = says(UNKNOWN) | named("unknown"), says(REFUSAL) | named("refuses")
+    against, for_ = says(INCONSISTENT) | named("inconsistent"), says(CONSISTENT) | named("consistent")
     holds = lambda value: (F.coalesce(value, F.lit("")) != "") & F.contains(X.stance_text(response), X.stance_text(value))
     has_original, has_other = holds(original), holds(counterfactual)
     answers, true = ~unknown & ~refuses, F.coalesce(claim_type == "true", F.lit(False))
