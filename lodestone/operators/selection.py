@@ -130,18 +130,49 @@ def proposals(predictions: DataFrame, existing: DataFrame, threshold: Column, vo
     return same.where(F.col("models") >= votes).join(existing.select(*at), at, "left_anti")
 
 
-def matched(candidates: DataFrame, targets: DataFrame, k: int, tolerance: float = 0.05, limit: int = 50_000) -> DataFrame:
+def _nearest_rows(rows: DataFrame, within: list, source: str, order: list, k: int, m: int) -> DataFrame:
+    """Of the rows of each group the first m in order, of which a source has k at most."""
+    own = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*within, source).orderBy(*order))).where(F.col("_k") <= k)
+    return own.withColumn("_k", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("_k") <= m).drop("_k")
+
+
+def matched(candidates: DataFrame, targets: DataFrame, k: int, tolerance: float = 0.05, ranges: int = 512) -> DataFrame:
     """query, slot, chunk, tokens, within: for each slot of a query, from the largest, the candidate of the nearest size that is
-    left (of equals the least chunk); within says whether all of them together are as large as the slots, to a tolerance.
-
-    candidates: (chunk, source, tokens); targets: (query, slot, wanted, excluded), at most k slots a query, excluded the
-    sources that it may not draw from. The targets are a stated set of at most `limit` rows, held against all candidates. A slot
-    chooses among its k nearest, since the others take k - 1 of them at most. Queries that run out of candidates get none."""
-    if targets.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} slots; run them in blocks")
-    free = ~F.coalesce(F.array_contains("excluded", F.col("source")), F.lit(False))
-    near = candidates.join(F.broadcast(targets), free).select("query", "slot", "wanted", F.struct(F.abs(F.col("tokens") - F.col("wanted")).alias("gap"), "chunk", "tokens").alias("c"))
-    near = near.withColumn("p", F.row_number().over(Window.partitionBy("query", "slot").orderBy("c"))).where(F.col("p") <= k)
+    left (of equals the least chunk; one without a size comes last); within says whether all of them together are as large as
+    the slots, to a tolerance.
+
+    candidates: (chunk, source, tokens), each chunk of one size and source; targets: (query, slot, wanted, excluded), at most k
+    slots a query, excluded the sources that it may not draw from. A slot chooses among its k nearest, since the others take
+    k - 1 of them at most. Queries that run out of candidates get none.
+
+    Candidates and slots never meet in all their pairs. Where a slot excludes e sources at most, its k nearest are among the
+    first (e + 1) k candidates to each side that hold k of a source at most. So many are kept of each size; sizes are cut into
+    ranges of about equally many candidates, each range is given that many of the nearest below and above it, and a slot looks
+    through the range of its size only, which is held as an array: its length is the candidates kept by the ranges."""
+    m = k * (1 + (targets.agg(F.max(F.coalesce(F.greatest(F.size("excluded"), F.lit(0)), F.lit(0)))).first()[0] or 0))
+    rows = _nearest_rows(candidates.select("chunk", "source", "tokens").distinct(), ["tokens"], "source", ["chunk"], k, m)
+    edges = sorted(set(rows.agg(F.percentile_approx("tokens", F.array(*(F.lit(x / ranges) for x in range(1, ranges))), F.lit(20 * ranges))).first()[0] or []))
+    # the range of a size: how many edges are less; -1 without a size
+    of = lambda x: F.when(x.isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < x)) if edges else 0)
+    rows = rows.withColumn("range", of(F.col("tokens")))
+    every = targets.select(of(F.col("wanted")).alias("range")).distinct()
+    near = rows.where("range >= 0")
+    for side, order in ((F.col("range") < F.col("_of"), F.desc("tokens")), (F.col("range") > F.col("_of"), F.asc("tokens"))):
+        held = _nearest_rows(rows.where("range >= 0"), ["range"], "source", [order, "chunk"], k, m)
+        beside = held.join(F.broadcast(every.withColumnRenamed("range", "_of").where("_of >= 0")), side)
+        near = near.unionByName(_nearest_rows(beside, ["_of"], "source", [order, "chunk"], k, m).drop("range").withColumnRenamed("_of", "range"))
+    # candidates without a size, for all; for slots without one the least chunks
+    near = near.unionByName(rows.where("range < 0").drop("range").crossJoin(F.broadcast(every)))
+    near = near.unionByName(_nearest_rows(rows.where("range >= 0").withColumn("range", F.lit(-1)), ["range"], "source", ["chunk"], k, m).select(near.columns))
+    lists = near.groupBy("range").agg(F.collect_list(F.struct("tokens", "chunk", "source")).alias("near"))
+
+    def gap(c):
+        away = F.abs(c["tokens"] - F.col("wanted"))
+        return F.struct(away.isNull().alias("unknown"), away.alias("gap"), c["chunk"].alias("chunk"), c["tokens"].alias("tokens"))
+
+    free = lambda c: ~F.coalesce(F.array_contains("excluded", c["source"]), F.lit(False))
+    near = targets.withColumn("range", of(F.col("wanted"))).join(lists, "range")
+    near = near.select("query", "slot", "wanted", F.explode(F.slice(F.array_sort(F.transform(F.filter("near", free), gap)), 1, k)).alias("c"))
     slots = near.groupBy("query", "slot", "wanted").agg(F.array_sort(F.collect_list("c")).alias("own"))
     rows = slots.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("wanted")).alias("w"), "slot", "own"))).alias("slots"))
     rows = rows.join(targets.groupBy(F.col("query").alias("of")).agg(F.count("*").alias("n")), F.col("query") == F.col("of")).where("size(slots) = n")

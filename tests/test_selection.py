@@ -91,6 +91,22 @@ def test_matches_are_the_greedy_ones(spark):
     assert got == want
 
 
+def test_matched_contexts_of_many_sizes(spark, tmp_path):
+    """The query against its SQL where a source holds all near sizes, sizes repeat, and one is missing; no join of all pairs."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(4)
+    rows = [(k, f"s{k // 400}" if k % 3 else f"s{rng.randrange(9)}", None if k == 77 else k if k < 1200 else rng.choice([5, 900, 901, 5000])) for k in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.queries()["matched_context"](spark, str(tmp_path))
+    want = con.execute(registry.oracle_sql()["matched_context"]).fetchall()
+    assert sorted(tuple(r) for r in got.select("query", "slot", "chunk", "tokens", "within").collect()) == sorted(want) and len(want) == 180
+    assert selection.matched(spark.createDataFrame([(1, "a", 5)], "chunk int, source string, tokens int"), spark.createDataFrame([], "query int, slot int, wanted int, excluded array<string>"), 3).collect() == []
+    many = spark.range(60_000).select(F.col("id").alias("query"), F.lit(1).alias("slot"), (F.col("id") % 50).alias("wanted"), F.array(F.lit("a")).alias("excluded"))
+    assert selection.matched(spark.createDataFrame([(1, "b", 5), (2, "a", 9)], "chunk int, source string, tokens int"), many, 1).where("chunk = 1").count() == 60_000
+
+
 # ---- queries without SQL
 
 
