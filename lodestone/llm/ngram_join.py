@@ -4,9 +4,10 @@ A document's set is its distinct shingles (tokens). Documents with the same set
 takes part in the join.
 
 1. Classes of tokens. A count sketch over all documents gives each token a level: the doublings of how often it occurs at
-   most. Tokens of at most `RARE` occurrences are rare, the others frequent. The tokens of a set are ordered by level, then
-   hash. Any order that all sets share is sound for prefixes, and rare tokens have small buckets at any size of the corpus;
-   an over-full sketch makes more tokens frequent and so more combinations.
+   most. Counters of a full sketch hold other tokens too, about as many each, and what nine in ten counters hold at least is
+   taken off all of them. Tokens of at most `RARE` occurrences beyond that are rare, the others frequent. The tokens of a set
+   are ordered by level, then hash. Any order that all sets share is sound for prefixes, and rare tokens have small buckets at
+   any size of the corpus; where the spread of the counters exceeds `RARE` more tokens become frequent.
 2. Prefixes. Two sets that are similar enough share k tokens among the first |x| - ceil(t |x|) + k tokens of each. Prefixes
    are extended to k = 1 + |x| / 32, the lesser k of two sets counting. Rare tokens of a prefix are indexed singly, and
    pairs that share fewer than k of them aren't candidates by them.
@@ -37,6 +38,7 @@ nothing; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +92,11 @@ def extension(n: int) -> int:
     return 1 + n // 32
 
 
+def levels_of(counters: np.ndarray) -> np.ndarray:
+    """By counter: the doublings of what it holds beyond the tenth part of counters that hold least."""
+    return np.ceil(np.log2(np.maximum(counters - int(np.quantile(counters, 0.1)), 1))).astype(np.uint8)
+
+
 def is_rare(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return levels[(own & np.uint64(len(levels) - 1)).astype(np.int64)] <= RARE.bit_length() - 1
 
@@ -148,7 +155,7 @@ def _sets_and_sketch(docs: DataFrame, size: int, scratch: Scratch) -> tuple[Data
             yield batch(schema, [part.column("doc_id").to_pylist(), list(map(len, sets)), cls, none, none])
         for k, x in enumerate(np.split(sketch, SLICES)):
             if x.any():
-                yield batch(schema, [[None], [None], [None], [k], [x.tobytes()]])
+                yield batch(schema, [[None], [None], [None], [k], [zlib.compress(x.tobytes(), 1)]])
 
     both = scratch.save(_input(docs).mapInArrow(read, "doc_id long, n long, cls long, slice int, counts binary"), "sets")
 
@@ -156,7 +163,7 @@ def _sets_and_sketch(docs: DataFrame, size: int, scratch: Scratch) -> tuple[Data
         own: dict[int, np.ndarray] = {}
         for part in batches:
             for k, counts in zip(part.column("slice").to_pylist(), part.column("counts").to_pylist(), strict=True):
-                own[k] = own.get(k, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
+                own[k] = own.get(k, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
         out = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
         for k, x in own.items():
             yield batch(out, [[k], [x.tobytes()]])
@@ -165,8 +172,7 @@ def _sets_and_sketch(docs: DataFrame, size: int, scratch: Scratch) -> tuple[Data
     width = COUNTERS // SLICES
     for k, x in both.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():  # COUNTERS numbers
         total[k * width : (k + 1) * width] = np.frombuffer(x, np.int64)
-    levels = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-    return both.where("slice IS NULL").select("doc_id", "n", "cls"), levels
+    return both.where("slice IS NULL").select("doc_id", "n", "cls"), levels_of(total)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -199,9 +205,17 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, links:
     # a class is known by its least doc_id, of which alone the texts are read again
     classes = scratch.save(sets.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "classes")
 
+    def of_nodes(batches, keep: BitFilter):
+        """The rows whose doc_id a filter of nodes holds."""
+        for part in batches:
+            keys = np.array([xxhash.xxh64_intdigest(struct.pack("<q", d), 42) for d in part.column("doc_id").to_pylist()], np.uint64)
+            yield part.filter(pa.array(keep.hits(keys)))
+
+    representatives = spark.sparkContext.broadcast(BitFilter.build(classes.select(F.xxhash64("node").alias("k")), "k", classes.count()))
+
     def sign(batches):
         schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("combined", pa.bool_())])
-        for part, texts in text_chunks(batches):
+        for _, texts in text_chunks(of_nodes(batches, representatives.value)):
             sigs, cls, combined = [], [], []
             for own in token_sets(texts, size):
                 if len(own):
@@ -263,13 +277,11 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, links:
 
         def again(batches):
             schema = pa.schema([("cls", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64())), ("rare", pa.int64())])
-            for part in batches:
-                keys = np.array([xxhash.xxh64_intdigest(struct.pack("<q", d), 42) for d in part.column("doc_id").to_pylist()], np.uint64)
-                for rows, texts in text_chunks([part.filter(pa.array(keep.value.hits(keys)))]):
-                    own = token_sets(texts, size)
-                    cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64)
-                    rare = [int(is_rare(x, held.value).sum()) for x in own]
-                    yield batch(schema, [signed(cls), rows.column("doc_id").to_pylist(), list(map(signed, own)), rare])
+            for rows, texts in text_chunks(of_nodes(batches, keep.value)):
+                own = token_sets(texts, size)
+                cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64)
+                rare = [int(is_rare(x, held.value).sum()) for x in own]
+                yield batch(schema, [signed(cls), rows.column("doc_id").to_pylist(), list(map(signed, own)), rare])
 
         read = _input(docs).where("doc_id IS NOT NULL").mapInArrow(again, "cls long, doc_id long, tokens array<long>, rare long")
         own = scratch.save(read.select("cls", "doc_id", "tokens", "rare"), f"{name}-tokens")

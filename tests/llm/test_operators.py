@@ -215,6 +215,15 @@ def test_windows_of_rows_that_repeat_a_doc_id(spark, shard, monkeypatch):
     assert sorted(map(tuple, substring.substring_dedup(docs).collect())) == sorted(want)
 
 
+def test_levels_of_a_full_sketch():
+    """Counters that hold about 1000 other tokens each: a token of few occurrences is rare still, one of many is not."""
+    counters = np.random.default_rng(3).poisson(1000, 1 << 12)
+    counters[7] += 2000
+    few = ngram_join.is_rare(np.arange(1 << 12, dtype=np.uint64), ngram_join.levels_of(counters))
+    assert few.sum() == (1 << 12) - 1 and not few[7]
+    assert (ngram_join.levels_of(np.array([0] * 9 + [1, 2, 256, 257])) == [0] * 10 + [1, 8, 9]).all()
+
+
 def test_size_classes():
     for percent in (80, 85, 90):
         for n in range(1, 400):
