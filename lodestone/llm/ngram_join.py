@@ -26,7 +26,7 @@ takes part in the join.
    the two differences that add up to K at most, so that one of them is at K / 2 at most: those places are indexed, places
    up to K look them up. The own edits of near copies come first, so that copies of one text that differ by too much don't
    meet, and those that link with p have its component.
-6. Components by alternating large-star and small-star steps.
+6. Components: of at most `ONE_TASK` edges in one task, of more by alternating large-star and small-star steps.
 7. Links, where they are asked for: the candidate pairs within a component of stars are compared as well, so that all links
    of a set are counted. These pairs grow with the square of a group of near copies.
 
@@ -54,6 +54,8 @@ COUNTERS, SLICES, RARE = 1 << 21, 32, 256
 CROWD = 16
 #: What a shared combination counts for: more than any number of shared tokens.
 COMBINED = 1_000_000
+#: Edges (16 bytes each) whose components one task finds; each round of steps costs the driver two plans of many joins.
+ONE_TASK = 1 << 20
 
 
 def token_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -94,7 +96,8 @@ def extension(n: int) -> int:
 
 def levels_of(counters: np.ndarray) -> np.ndarray:
     """By counter: the doublings of what it holds beyond the tenth part of counters that hold least."""
-    return np.ceil(np.log2(np.maximum(counters - int(np.quantile(counters, 0.1)), 1))).astype(np.uint8)
+    least = int(np.quantile(counters, 0.1))
+    return np.concatenate([np.ceil(np.log2(np.maximum(x - least, 1))).astype(np.uint8) for x in np.array_split(counters, SLICES)])
 
 
 def is_rare(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -166,19 +169,42 @@ def _sets_and_sketch(docs: DataFrame, size: int, scratch: Scratch) -> tuple[Data
                 own[k] = own.get(k, 0) + np.frombuffer(zlib.decompress(counts), np.uint16).astype(np.int64)
         out = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
         for k, x in own.items():
-            yield batch(out, [[k], [x.tobytes()]])
+            yield batch(out, [[k], [zlib.compress(x.tobytes(), 1)]])
 
     total = np.zeros(COUNTERS, np.int64)
     width = COUNTERS // SLICES
     for k, x in both.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():  # COUNTERS numbers
-        total[k * width : (k + 1) * width] = np.frombuffer(x, np.int64)
+        total[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(x), np.int64)
     return both.where("slice IS NULL").select("doc_id", "n", "cls"), levels_of(total)
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes of the edges a, b, the least node that each reaches)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.split(at.reshape(-1), 2)
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        np.minimum.at(label, high, low)
+        while (label != (up := label[label])).any():
+            label = up
+    return nodes, nodes[label]
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component): the least node reachable, for the nodes of the edges (a, b)."""
     smaller, larger = F.least("a", "b"), F.greatest("a", "b")
     edges = scratch.save(edges.select(larger.alias("a"), smaller.alias("b")).where("a <> b").distinct(), f"{name}0")
+    if edges.count() <= ONE_TASK:
+
+        def find(batches):
+            held = [tuple(part.column(c).to_numpy() for c in "ab") for part in batches]
+            if held:
+                yield batch(pa.schema([("node", pa.int64()), ("component", pa.int64())]), least_reachable(*map(np.concatenate, zip(*held, strict=True))))
+
+        found = scratch.save(edges.coalesce(1).mapInArrow(find, "node long, component long"), name)
+        scratch.drop(f"{name}0")
+        return found
     state, k = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

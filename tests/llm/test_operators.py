@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty, long, repeated and clashing rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -163,6 +164,33 @@ def test_ngram_join_crowds(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, links=False).collect()} == want
 
 
+@pytest.mark.parametrize("most", [ngram_join.ONE_TASK, 10])
+def test_components(spark, most, monkeypatch):
+    """Few edges take two written tables whatever their shape, more take rounds; both find the least node of each component."""
+    monkeypatch.setattr(ngram_join, "ONE_TASK", most)
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(-20, 40)] + [(200, 100 + k) for k in range(30)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(45)] + [(500, 500)]
+    at = {k: k for e in edges for k in e}
+    for _ in at:
+        for a, b in edges:
+            at[a] = at[b] = min(at[a], at[b])
+    written = []
+    save = ngram_join.Scratch.save
+    monkeypatch.setattr(ngram_join.Scratch, "save", lambda self, df, name: written.append(name) or save(self, df, name))
+    got = ngram_join.components(spark.createDataFrame(edges, "a long, b long"), ngram_join.Scratch(spark, "test"), "c").collect()
+    assert dict(map(tuple, got)) == {k: c for k, c in at.items() if k != 500 and any(k in e and e[0] != e[1] for e in edges)} and len(got) == len({r.node for r in got})
+    assert written == ["c0", "c"] or most == 10
+    none = ngram_join.components(spark.createDataFrame([], "a long, b long"), ngram_join.Scratch(spark, "test"), "c")
+    assert none.collect() == []
+
+
+def test_scratch_files(spark):
+    """A scratch table is its data files alone, as each other file costs the local file system processes."""
+    scratch = ngram_join.Scratch(spark, "test")
+    assert sorted(r.id for r in scratch.save(spark.range(5), "t").collect()) == list(range(5))
+    assert all(name.startswith("part-") for name in os.listdir(scratch.path("t").removeprefix("file:")))
+
+
 @pytest.mark.parametrize("n", [60, 200, 2000])
 def test_decontaminate_long_items(spark, n):
     """Items of any length are found with a word in twenty changed, by themselves and inside of other text; halves are not."""
