@@ -120,8 +120,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     indexed = theirs.select("item_id", "n", F.col("fingerprint").alias("of_item"), blocks).select("item_id", "n", "of_item", "b.k", F.explode(F.transform(near, lambda x: F.col("b.v").bitwiseXOR(x))).alias("v"))
     looked = ours.select("doc_id", "t", "n", "s", "fingerprint", blocks).select("doc_id", "t", "n", "s", "fingerprint", "b.k", "b.v")
     hamming = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of_item")))
-    # windows are item-sized, or whole documents that are shorter: an item is held against windows for its own length
-    pairs = looked.join(indexed, ["n", "k", "v"]).withColumn("hamming", hamming).where(F.col("hamming") <= radius).select("doc_id", "t", "n", "s", "item_id", "hamming").distinct()
+    # windows are item-sized, or whole documents that are shorter: an item is held against windows for its own length. The index
+    # has 2788 rows for each item, which Spark doesn't foresee: it isn't broadcast, the driver would have to build it
+    pairs = looked.join(indexed.hint("merge"), ["n", "k", "v"]).withColumn("hamming", hamming).where(F.col("hamming") <= radius).select("doc_id", "t", "n", "s", "item_id", "hamming").distinct()
 
     def multiset(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         counted = rows.groupBy(*keys, "h", "weight").agg(F.count("*").alias("c"))

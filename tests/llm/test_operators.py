@@ -191,6 +191,17 @@ def test_scratch_files(spark):
     assert all(name.startswith("part-") for name in os.listdir(scratch.path("t").removeprefix("file:")))
 
 
+def test_decontaminate_index_is_not_broadcast(spark, monkeypatch):
+    """The index of blocks has 2788 rows for each item, which its estimated size hides."""
+    plans = {}
+    save = decontaminate.Scratch.save
+    monkeypatch.setattr(decontaminate.Scratch, "save", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(self, df, name))
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 20))) for k in range(3)], "doc_id long, text string")
+    items = docs.select(docs.doc_id.alias("item_id"), "text")
+    assert {(k, k) for k in range(3)} <= {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert "SortMergeJoin" in plans["pairs"] and "BroadcastExchange" not in plans["pairs"]
+
+
 @pytest.mark.parametrize("n", [60, 200, 2000])
 def test_decontaminate_long_items(spark, n):
     """Items of any length are found with a word in twenty changed, by themselves and inside of other text; halves are not."""
